@@ -29,7 +29,7 @@ def n_rows(alias: str) -> Column:
 
 def mean_of_total(c: str) -> Column:
     """Mean of per-group totals as ``double(sum) / count`` (order-independent)."""
-    return F.sum(c).cast("double") / F.count(c).cast("double")
+    return F.sum(c).cast("double") / F.nullif(F.count(c).cast("double"), F.lit(0.0))
 
 
 def dedup_users(t2: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def state_segments_sql(t1: DataFrame) -> DataFrame:
     a, c = dbl("total_amount"), dbl("total_count")
     p_amt = F.percentile(a, 0.66).over(ALL)
     p_cnt = F.percentile(c, 0.66).over(ALL)
-    m_amt = F.sum("total_amount").over(ALL).cast("double") / F.count("total_amount").over(ALL).cast("double")
-    m_cnt = F.sum("total_count").over(ALL).cast("double") / F.count("total_count").over(ALL).cast("double")
+    m_amt = ratio(F.sum("total_amount").over(ALL), F.count("total_amount").over(ALL))
+    m_cnt = ratio(F.sum("total_count").over(ALL), F.count("total_count").over(ALL))
     segment = (F.when((a >= p_amt) & (c >= p_cnt), "High Value & High Volume")
                .when(a >= m_amt, "High Value").when(c >= m_cnt, "High Volume")
                .otherwise("Growth Potential"))
@@ -117,7 +117,7 @@ def top_places(df: DataFrame, level: str, k: int = 10) -> DataFrame:
 
 def state_vs_national_sql(t1: DataFrame) -> DataFrame:
     s = t1.groupBy("state").agg(sum_money(AMT, "state_amount"), sum_count(CNT, "state_count"))
-    nat = F.sum("state_amount").over(ALL).cast("double") / F.count("state_amount").over(ALL).cast("double")
+    nat = ratio(F.sum("state_amount").over(ALL), F.count("state_amount").over(ALL))
     return (s.withColumn("nat_avg_amount", nat)
             .select("state", "state_amount", "state_count", "nat_avg_amount",
                     F.round(diff_from_mean_pct("state_amount", "nat_avg_amount"), 2).alias("vs_national_pct"))
@@ -145,7 +145,7 @@ def txn_category_qoq(t1: DataFrame, calendar: bool = False) -> DataFrame:
 
 def state_benchmark(t1: DataFrame) -> DataFrame:
     s = t1.groupBy("state").agg(sum_money(AMT, "state_amount"), sum_count(CNT, "state_count"))
-    nat = F.sum("state_amount").over(ALL).cast("double") / F.count("state_amount").over(ALL).cast("double")
+    nat = ratio(F.sum("state_amount").over(ALL), F.count("state_amount").over(ALL))
     return (s.withColumn("_nat", nat)
             .select("state", "state_amount", "state_count",
                     F.round(ratio("state_amount", "state_count"), 2).alias("avg_txn_value"),
@@ -282,7 +282,7 @@ def category_summary(t1: DataFrame) -> DataFrame:
 
 def state_vs_mean(t1: DataFrame) -> DataFrame:
     s = t1.groupBy("state").agg(sum_count(CNT, "count"), sum_money(AMT, "amount"))
-    avg_cr = (F.sum("amount").over(ALL).cast("double") / F.count("amount").over(ALL).cast("double")) / F.lit(1e7)
+    avg_cr = (ratio(F.sum("amount").over(ALL), F.count("amount").over(ALL))) / F.lit(1e7)
     s = s.withColumn("amount_cr", crore("amount")).withColumn("national_avg_cr", avg_cr)
     s = s.withColumn("vs_avg", F.round(diff_from_mean_pct("amount_cr", "national_avg_cr"), 1))
     return (s.select("state", "count", "amount", "amount_cr", "vs_avg", sign_flag("vs_avg").alias("vs_avg_flag"))
