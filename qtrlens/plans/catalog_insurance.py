@@ -1,3 +1,160 @@
-"""Registered insurance queries and their oracle SQL."""
+"""Registered insurance queries (T3 with T2) and their oracle SQL."""
 
 from __future__ import annotations
+
+from qtrlens.operators import insurance as ins
+from qtrlens.plans.registry import register
+from qtrlens.plans.sqlx import floor1, crore, dedup_users, growth, pct_change, period, ratio, sc, share, sm
+
+T2, T3 = "aggregated_user", "aggregated_insurance"
+USERS_ROWS = f"(select state, {sc('registered_users')} as total_users from {T2} group by state)"
+DEDUP = dedup_users(T2)
+
+
+@register("insurance_penetration_sql", f"""
+select ai.state, {sc('ai.insurance_count')} as total_policies, {sm('ai.insurance_amount')} as total_premium,
+  round({ratio('sum(ai.insurance_amount)', 'sum(ai.insurance_count)')}, 2) as avg_premium,
+  round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_rate
+from {T3} ai left join {USERS_ROWS} au on ai.state = au.state
+group by ai.state, au.total_users order by total_premium desc""")
+def _q(t):
+    return ins.insurance_penetration_sql(t.aggregated_insurance, t.aggregated_user)
+
+
+@register("insurance_quarterly", f"""
+select year, quarter, {sc('insurance_count')} as total_policies, {sm('insurance_amount')} as total_premium,
+  round({ratio('sum(insurance_amount)', 'sum(insurance_count)')}, 2) as avg_premium
+from {T3} group by year, quarter order by year, quarter""")
+def _q(t):
+    return ins.insurance_quarterly(t.aggregated_insurance)
+
+
+@register("insurance_penetration", f"""
+select ai.state, {sc('ai.insurance_count')} as total_policies, {sm('ai.insurance_amount')} as total_premium,
+  round({ratio('sum(ai.insurance_amount)', 'sum(ai.insurance_count)')}, 0) as avg_premium_per_policy,
+  au.total_users as total_reg_users,
+  round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_pct
+from {T3} ai left join {USERS_ROWS} au on ai.state = au.state
+group by ai.state, au.total_users order by penetration_pct asc""")
+def _q(t):
+    return ins.insurance_penetration(t.aggregated_insurance, t.aggregated_user)
+
+
+@register("insurance_growth_yoy", f"""
+with annual as (select year, {sc('insurance_count')} as policies, {sm('insurance_amount')} as premium from {T3} group by year)
+select year, policies, premium, lag(policies) over (order by year) as prev_policies,
+  round({growth('policies', 'lag(policies) over (order by year)')}, 2) as yoy_policy_growth,
+  round({growth('premium', 'lag(premium) over (order by year)')}, 2) as yoy_premium_growth
+from annual order by year""")
+def _q(t):
+    return ins.insurance_growth_yoy(t.aggregated_insurance)
+
+
+@register("insurance_opportunity", f"""
+with pen as (select ai.state, {sc('ai.insurance_count')} as policies, au.total_users,
+               round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_pct
+             from {T3} ai left join {USERS_ROWS} au on ai.state = au.state group by ai.state, au.total_users),
+scored as (select *, round({ratio('total_users', 'max(total_users) over ()')}
+                           - {ratio('penetration_pct', 'max(penetration_pct) over ()')}, 3) as opportunity_score from pen)
+select *, case when opportunity_score >= 0.3::double then 'Critical Priority'
+               when opportunity_score >= 0.1::double then 'High Priority'
+               when opportunity_score >= 0.0::double then 'Medium Priority' else 'Low Priority' end as campaign_priority
+from scored order by opportunity_score desc""")
+def _q(t):
+    return ins.insurance_opportunity(t.aggregated_insurance, t.aggregated_user)
+
+
+@register("insurance_qoq", f"""
+select year, quarter, {sc('insurance_count')} as policies, {sm('insurance_amount')} as premium,
+  lag({sc('insurance_count')}) over (order by year, quarter) as prev_policies,
+  round({growth(sc('insurance_count'), f"lag({sc('insurance_count')}) over (order by year, quarter)")}, 2) as qoq_growth_pct
+from {T3} group by year, quarter order by year, quarter""")
+def _q(t):
+    return ins.insurance_qoq(t.aggregated_insurance)
+
+
+@register("kpi_insurance", f"""
+with s as (select state, sum(insurance_count) as p from {T3} where state is not null group by state),
+k as (select (select {sc('insurance_count')} from {T3}) as total_policies,
+             (select {sm('insurance_amount')} from {T3}) as total_premium,
+             (select state from s where p is not null order by p asc, state limit 1) as lowest_state)
+select *, cast(total_premium as double) / cast({floor1('total_policies')} as double) as avg_premium,
+  cast(total_policies as double) / 1e3 as policies_k, {crore('total_premium')} as premium_cr from k""")
+def _q(t):
+    return ins.kpi_insurance(t.aggregated_insurance)
+
+
+_PEN_DEDUP = f"""
+with i as (select state, {sc('insurance_count')} as "count", {sm('insurance_amount')} as amount from {T3} group by state),
+r as (select state, {sc('registered_users')} as registered_users from {DEDUP} d group by state),
+p as (select i.state, "count", amount, registered_users,
+        round(cast("count" as double) / cast({floor1('registered_users')} as double) * 100.0::double, 3) as penetration_pct,
+        cast(amount as double) / cast({floor1('"count"')} as double) as avg_premium
+      from i left join r on i.state = r.state)"""
+
+
+@register("penetration_dedup", _PEN_DEDUP + f"""
+select *, {ratio('sum(cast(penetration_pct as decimal(20,3))) over ()', 'count(penetration_pct) over ()')}
+  as mean_penetration_pct from p""")
+def _q(t):
+    return ins.penetration_dedup(t.aggregated_insurance, t.aggregated_user)
+
+
+@register("insurance_period", f"""
+select year, quarter, {sc('insurance_count')} as "count", {sm('insurance_amount')} as amount, {period()} as period,
+  {crore(sm('insurance_amount'))} as amount_cr from {T3} group by year, quarter""")
+def _q(t):
+    return ins.insurance_period(t.aggregated_insurance)
+
+
+@register("insurance_yoy", f"""
+with y as (select year, {sc('insurance_count')} as "count" from {T3} group by year),
+g as (select year, "count", {pct_change('"count"', 'lag("count") over (order by year)')} as yoy_growth from y)
+select * from g where yoy_growth is not null""")
+def _q(t):
+    return ins.insurance_yoy(t.aggregated_insurance)
+
+
+_OPP_CUT = _PEN_DEDUP + f""",
+o as (select state, registered_users, penetration_pct,
+        round({ratio('registered_users', 'max(registered_users) over ()')}
+              - {ratio('penetration_pct', 'max(penetration_pct) over ()')}, 3) as opportunity_score from p),
+c as (select *, case when opportunity_score > -2.0::double and opportunity_score <= -0.1::double then 'Low'
+                     when opportunity_score > -0.1::double and opportunity_score <= 0.1::double then 'Medium'
+                     when opportunity_score > 0.1::double and opportunity_score <= 0.3::double then 'High'
+                     when opportunity_score > 0.3::double and opportunity_score <= 1.0::double then 'Critical'
+                end as priority from o)"""
+
+
+@register("opportunity_cut", _OPP_CUT + "\nselect * from c")
+def _q(t):
+    return ins.opportunity_cut(t.aggregated_insurance, t.aggregated_user)
+
+
+@register("opportunity_rollup", _OPP_CUT + f"""
+select priority, state, {sc('registered_users')} as users,
+  cast(grouping(priority, state) as int) as level,
+  round({ratio('sum(cast(opportunity_score as double) * cast(registered_users as double))', 'sum(registered_users)')}, 3) as score
+from c where priority is not null group by rollup (priority, state)""")
+def _q(t):
+    return ins.opportunity_rollup(t.aggregated_insurance, t.aggregated_user)
+
+
+@register("opportunity_top5", _OPP_CUT + "\nselect * from c order by opportunity_score desc nulls last, state limit 5")
+def _q(t):
+    return ins.opportunity_top(t.aggregated_insurance, t.aggregated_user, 5)
+
+
+@register("insurance_by_state", f"""
+select state, {sc('insurance_count')} as "count", {sm('insurance_amount')} as amount,
+  {crore(sm('insurance_amount'))} as amount_cr from {T3} group by state""")
+def _q(t):
+    return ins.insurance_by_state(t.aggregated_insurance)
+
+
+@register("national_penetration", f"""
+with k as (select (select {sc('insurance_count')} from {T3}) as policies,
+                  (select {sc('registered_users')} from {DEDUP} d) as registered_users)
+select *, round({share('policies', 'registered_users')}, 4) as penetration_pct from k""")
+def _q(t):
+    return ins.national_penetration(t.aggregated_insurance, t.aggregated_user)

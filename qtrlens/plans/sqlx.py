@@ -19,8 +19,13 @@ def growth(x: str, p: str) -> str:
     return f"({d(x)} - {d(p)}) / nullif({d(p)}, 0) * 100.0::double"
 
 
+def floor1(x: str) -> str:
+    """max(x, 1) keeping NULL (DuckDB's greatest() would skip the NULL and give 1)."""
+    return f"(case when {x} is null then null else greatest({x}, 1) end)"
+
+
 def growth_floor1(x: str, p: str) -> str:
-    return f"({d(x)} - {d(p)}) / {d(f'greatest({p}, 1)')} * 100.0::double"
+    return f"({d(x)} - {d(p)}) / {d(floor1(p))} * 100.0::double"
 
 
 def pct_change(x: str, p: str) -> str:
