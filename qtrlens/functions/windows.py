@@ -17,6 +17,11 @@ from qtrlens.functions.expr import ordinal, share_pct
 from qtrlens.functions.joins import broadcast_if_small
 
 
+def whole() -> Window:
+    """Window over the whole frame; only for aggregated frames of bounded size."""
+    return Window.partitionBy()
+
+
 def _keys(keys: Sequence[str] | str | None) -> list[str]:
     if keys is None:
         return []

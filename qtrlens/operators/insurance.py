@@ -13,9 +13,8 @@ from qtrlens.functions.aggs import dedup_users, state_users, sum_count, sum_mone
 from qtrlens.functions.expr import (band_at_least, band_right_closed, crore, dbl, floor1, pct_change, pct_growth,
                                     period, ratio, share_pct, thousand)
 from qtrlens.functions.joins import broadcast_if_small
-from qtrlens.functions.windows import top_k, with_prev
+from qtrlens.functions.windows import top_k, with_prev, whole
 
-ALL = Window.partitionBy()
 ICNT, IAMT = "insurance_count", "insurance_amount"
 
 
@@ -72,8 +71,8 @@ SQL_PRIORITY = [(0.3, "Critical Priority"), (0.1, "High Priority"), (0.0, "Mediu
 def insurance_opportunity(t3: DataFrame, t2: DataFrame, user_grain: str = "rows") -> DataFrame:
     """3C: user base relative to the largest minus penetration relative to the highest."""
     p = _penetration(t3, t2, user_grain)
-    score = F.round(ratio("total_users", F.max("total_users").over(ALL))
-                    - ratio("penetration_pct", F.max("penetration_pct").over(ALL)), 3)
+    score = F.round(ratio("total_users", F.max("total_users").over(whole()))
+                    - ratio("penetration_pct", F.max("penetration_pct").over(whole())), 3)
     p = p.select("state", F.col("total_policies").alias("policies"), "total_users", "penetration_pct",
                  score.alias("opportunity_score"))
     return (p.withColumn("campaign_priority", band_at_least("opportunity_score", SQL_PRIORITY, "Low Priority"))
@@ -107,7 +106,7 @@ def penetration_dedup(t3: DataFrame, t2: DataFrame) -> DataFrame:
     p = (ins.join(broadcast_if_small(reg), "state", "left")
          .withColumn("penetration_pct", F.round(dbl("count") / dbl(floor1("registered_users")) * F.lit(100.0), 3))
          .withColumn("avg_premium", dbl("amount") / dbl(floor1("count"))))
-    mean = ratio(F.sum(F.col("penetration_pct").cast("decimal(20,3)")).over(ALL), F.count("penetration_pct").over(ALL))
+    mean = ratio(F.sum(F.col("penetration_pct").cast("decimal(20,3)")).over(whole()), F.count("penetration_pct").over(whole()))
     return p.withColumn("mean_penetration_pct", mean).orderBy(F.col("penetration_pct").asc_nulls_last(), "state")
 
 
@@ -131,8 +130,8 @@ PAGE_LABELS = ["Low", "Medium", "High", "Critical"]
 def opportunity_cut(t3: DataFrame, t2: DataFrame) -> DataFrame:
     """Page form of the opportunity score: right-closed bands, NULL stays unclassified."""
     p = penetration_dedup(t3, t2)
-    score = F.round(ratio("registered_users", F.max("registered_users").over(ALL))
-                    - ratio("penetration_pct", F.max("penetration_pct").over(ALL)), 3)
+    score = F.round(ratio("registered_users", F.max("registered_users").over(whole()))
+                    - ratio("penetration_pct", F.max("penetration_pct").over(whole())), 3)
     p = p.withColumn("opportunity_score", score)
     return (p.select("state", "registered_users", "penetration_pct", "opportunity_score",
                      band_right_closed("opportunity_score", PAGE_EDGES, PAGE_LABELS).alias("priority"))

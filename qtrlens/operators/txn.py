@@ -20,9 +20,8 @@ from qtrlens.functions.expr import (band_greater, crore, dbl, diff_from_mean_pct
                                     fmt_crore, fmt_million, fmt_rupees, lakh, pct_change, pct_growth,
                                     period, ratio, share_pct, sign_flag, zscore)
 from qtrlens.functions.joins import broadcast_if_small
-from qtrlens.functions.windows import row_number_desc, top_k, with_prev
+from qtrlens.functions.windows import row_number_desc, top_k, with_prev, whole
 
-ALL = Window.partitionBy()  # whole (already aggregated, bounded) frame
 
 AMT, CNT = "transaction_amount", "transaction_count"
 
@@ -37,10 +36,10 @@ def state_segments_sql(t1: DataFrame) -> DataFrame:
     """Four spending segments: P66 of both totals for the top class, means for the rest."""
     s = _totals(t1, ["state"])
     a, c = dbl("total_amount"), dbl("total_count")
-    p_amt = F.percentile(a, 0.66).over(ALL)
-    p_cnt = F.percentile(c, 0.66).over(ALL)
-    m_amt = ratio(F.sum("total_amount").over(ALL), F.count("total_amount").over(ALL))
-    m_cnt = ratio(F.sum("total_count").over(ALL), F.count("total_count").over(ALL))
+    p_amt = F.percentile(a, 0.66).over(whole())
+    p_cnt = F.percentile(c, 0.66).over(whole())
+    m_amt = ratio(F.sum("total_amount").over(whole()), F.count("total_amount").over(whole()))
+    m_cnt = ratio(F.sum("total_count").over(whole()), F.count("total_count").over(whole()))
     segment = (F.when((a >= p_amt) & (c >= p_cnt), "High Value & High Volume")
                .when(a >= m_amt, "High Value").when(c >= m_cnt, "High Volume")
                .otherwise("Growth Potential"))
@@ -53,7 +52,7 @@ def state_segments_sql(t1: DataFrame) -> DataFrame:
 def ticket_anomaly(t1: DataFrame, threshold: float = 2.0) -> DataFrame:
     """Average ticket per state and its z-score among states; |z| > 2 is an anomaly."""
     s = _totals(t1, ["state"]).withColumn("avg_txn", ratio("total_amount", "total_count"))
-    z = zscore("avg_txn", F.avg("avg_txn").over(ALL), F.stddev_samp("avg_txn").over(ALL))
+    z = zscore("avg_txn", F.avg("avg_txn").over(whole()), F.stddev_samp("avg_txn").over(whole()))
     return (s.withColumn("_z", z)
             .select("state", "avg_txn", "total_count", "total_amount",
                     F.round("_z", 2).alias("z_score"),
@@ -76,8 +75,8 @@ def category_performance(t1: DataFrame) -> DataFrame:
     c = _totals(t1, ["transaction_type"])
     return (c.select("transaction_type", "total_count", "total_amount",
                      F.round(ratio("total_amount", "total_count"), 2).alias("avg_txn_value"),
-                     F.round(share_pct("total_count", F.sum("total_count").over(ALL)), 2).alias("count_share_pct"),
-                     F.round(share_pct("total_amount", F.sum("total_amount").over(ALL)), 2).alias("amount_share_pct"))
+                     F.round(share_pct("total_count", F.sum("total_count").over(whole())), 2).alias("count_share_pct"),
+                     F.round(share_pct("total_amount", F.sum("total_amount").over(whole())), 2).alias("amount_share_pct"))
             .orderBy(F.col("total_amount").desc(), "transaction_type"))
 
 
@@ -117,7 +116,7 @@ def top_places(df: DataFrame, level: str, k: int = 10) -> DataFrame:
 
 def state_vs_national_sql(t1: DataFrame) -> DataFrame:
     s = t1.groupBy("state").agg(sum_money(AMT, "state_amount"), sum_count(CNT, "state_count"))
-    nat = ratio(F.sum("state_amount").over(ALL), F.count("state_amount").over(ALL))
+    nat = ratio(F.sum("state_amount").over(whole()), F.count("state_amount").over(whole()))
     return (s.withColumn("nat_avg_amount", nat)
             .select("state", "state_amount", "state_count", "nat_avg_amount",
                     F.round(diff_from_mean_pct("state_amount", "nat_avg_amount"), 2).alias("vs_national_pct"))
@@ -145,7 +144,7 @@ def txn_category_qoq(t1: DataFrame, calendar: bool = False) -> DataFrame:
 
 def state_benchmark(t1: DataFrame) -> DataFrame:
     s = t1.groupBy("state").agg(sum_money(AMT, "state_amount"), sum_count(CNT, "state_count"))
-    nat = ratio(F.sum("state_amount").over(ALL), F.count("state_amount").over(ALL))
+    nat = ratio(F.sum("state_amount").over(whole()), F.count("state_amount").over(whole()))
     return (s.withColumn("_nat", nat)
             .select("state", "state_amount", "state_count",
                     F.round(ratio("state_amount", "state_count"), 2).alias("avg_txn_value"),
@@ -282,7 +281,7 @@ def category_summary(t1: DataFrame) -> DataFrame:
 
 def state_vs_mean(t1: DataFrame) -> DataFrame:
     s = t1.groupBy("state").agg(sum_count(CNT, "count"), sum_money(AMT, "amount"))
-    avg_cr = (ratio(F.sum("amount").over(ALL), F.count("amount").over(ALL))) / F.lit(1e7)
+    avg_cr = (ratio(F.sum("amount").over(whole()), F.count("amount").over(whole()))) / F.lit(1e7)
     s = s.withColumn("amount_cr", crore("amount")).withColumn("national_avg_cr", avg_cr)
     s = s.withColumn("vs_avg", F.round(diff_from_mean_pct("amount_cr", "national_avg_cr"), 1))
     return (s.select("state", "count", "amount", "amount_cr", "vs_avg", sign_flag("vs_avg").alias("vs_avg_flag"))

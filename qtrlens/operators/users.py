@@ -14,9 +14,8 @@ from qtrlens.functions.aggs import dedup_users, sum_count
 from qtrlens.functions.expr import (dbl, floor1, million, ordinal, pct_growth, pct_growth_floor1, period,
                                     ratio, share_pct)
 from qtrlens.functions.joins import broadcast_if_small
-from qtrlens.functions.windows import pct_rank_avg, top_k, with_prev
+from qtrlens.functions.windows import pct_rank_avg, top_k, with_prev, whole
 
-ALL = Window.partitionBy()
 
 
 def _users_source(t2: DataFrame, user_grain: str) -> DataFrame:
@@ -39,7 +38,7 @@ def engagement_quarterly(t2: DataFrame, user_grain: str = "rows") -> DataFrame:
 def brand_share(t2: DataFrame) -> DataFrame:
     """National brand share among rows with a brand (2A; also the scalar-subquery form)."""
     b = t2.where(F.col("brand").isNotNull()).groupBy("brand").agg(sum_count("user_count", "total_users"))
-    return (b.withColumn("market_share_pct", F.round(share_pct("total_users", F.sum("total_users").over(ALL)), 2))
+    return (b.withColumn("market_share_pct", F.round(share_pct("total_users", F.sum("total_users").over(whole())), 2))
             .orderBy(F.col("total_users").desc(), "brand"))
 
 
@@ -161,7 +160,7 @@ def kpi_users(t2: DataFrame) -> DataFrame:
 
 def brand_share_1dp(t2: DataFrame) -> DataFrame:
     b = t2.where(F.col("brand").isNotNull()).groupBy("brand").agg(sum_count("user_count", "user_count"))
-    return (b.withColumn("pct", F.round(share_pct("user_count", F.sum("user_count").over(ALL)), 1))
+    return (b.withColumn("pct", F.round(share_pct("user_count", F.sum("user_count").over(whole())), 1))
             .orderBy(F.col("user_count").desc(), "brand"))
 
 
@@ -182,8 +181,8 @@ def engagement_by_state(t2: DataFrame) -> DataFrame:
                                F.sum("_r").alias("_rs"), F.count("_r").alias("_rn"))
     s = s.withColumn("ratio", F.round(ratio("_rs", "_rn"), 2))
     return (s.select("state", "reg", "opens", "ratio",
-                     ratio(F.sum(F.col("ratio").cast("decimal(20,2)")).over(ALL), F.count("ratio").over(ALL)).alias("mean_ratio"),
-                     ratio(F.sum("opens").over(ALL), F.count("opens").over(ALL)).alias("mean_opens"))
+                     ratio(F.sum(F.col("ratio").cast("decimal(20,2)")).over(whole()), F.count("ratio").over(whole())).alias("mean_ratio"),
+                     ratio(F.sum("opens").over(whole()), F.count("opens").over(whole())).alias("mean_opens"))
             .orderBy(F.col("ratio").desc_nulls_last(), "state"))
 
 
@@ -197,7 +196,7 @@ def brand_gap(t2: DataFrame, state: str) -> DataFrame:
     """In one state: share vs opens-per-user percentile; positive gap = underused brand."""
     b = (t2.where((F.col("state") == state) & F.col("brand").isNotNull()).groupBy("brand")
          .agg(sum_count("user_count", "users"), sum_count("app_opens", "opens"), sum_count("registered_users", "reg")))
-    b = (b.withColumn("share_pct", F.round(share_pct("users", F.sum("users").over(ALL)), 1))
+    b = (b.withColumn("share_pct", F.round(share_pct("users", F.sum("users").over(whole())), 1))
          .withColumn("opens_per_user", F.round(dbl("opens") / dbl(floor1("users")), 1)))
     b = b.withColumn("gap", F.col("share_pct") - pct_rank_avg("opens_per_user") * F.lit(100.0))
     return b.orderBy(F.col("gap").desc_nulls_last(), "brand")
