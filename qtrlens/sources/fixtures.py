@@ -10,15 +10,15 @@ needs, with column pruning and filter pushdown into the Parquet scans. Scale not
 * ``nation`` is a fixed 25-row dimension; it is broadcast behind a size check.
 * orders x customer and lineitem x orders are shuffle joins on their keys (AQE may
   turn them into broadcasts when a side is small at runtime, and splits skewed keys).
-* the pincode-level aggregate is computed once and rolled up to districts, so the
-  ``top_*`` tables scan their source once (the district branch reuses the exchange).
+* the two-level tables (``top_*``) and ``aggregated_user`` use grouping sets: one
+  scan and one shuffle serve both grains.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qtrlens.functions.joins import broadcast_if_small
@@ -84,18 +84,24 @@ class DerivedTables:
 
     @cached_property
     def aggregated_user(self) -> DataFrame:
-        # One pass to the (state, quarter, brand, customer) grain; both sides below read
-        # the same exchange. State totals repeat on every brand row, as in the source.
-        base = (self.fx_line.groupBy("state", "year", "quarter", "brand", "o_custkey")
-                .agg(F.count(F.lit(1)).alias("n_lines")))
-        by_brand = (base.groupBy("state", "year", "quarter", "brand")
-                    .agg(F.count(F.lit(1)).alias("user_count")))
-        totals = (base.groupBy("state", "year", "quarter")
-                  .agg(F.count_distinct("o_custkey").alias("registered_users"),
-                       F.sum("n_lines").alias("app_opens")))
-        return (by_brand.join(totals, ["state", "year", "quarter"])
-                .where(F.col("state") != EXCLUDED_USER_STATE)
-                .select("state", "year", "quarter", "brand", "user_count", "registered_users", "app_opens"))
+        # One scan of the line items: grouping sets (state, quarter, brand) and
+        # (state, quarter) count distinct customers and lines in a single Expand +
+        # aggregate. The state-quarter totals are then attached to their brand rows by a
+        # window over the state-quarter (at most one row per brand plus the total), so
+        # there is no self-join and no second pass over the line items. The excluded
+        # state is dropped first (the source's inner join drops it from both sides).
+        g = (self.fx_line.where(F.col("state") != EXCLUDED_USER_STATE)
+             .groupingSets([["state", "year", "quarter", "brand"], ["state", "year", "quarter"]],
+                           "state", "year", "quarter", "brand")
+             .agg(F.count_distinct("o_custkey").alias("users"), F.count(F.lit(1)).alias("lines"),
+                  F.grouping_id().alias("gid")))
+        sq = Window.partitionBy("state", "year", "quarter")
+        total = F.col("gid") == 1
+        return (g.withColumn("registered_users", F.max(F.when(total, F.col("users"))).over(sq))
+                .withColumn("app_opens", F.max(F.when(total, F.col("lines"))).over(sq))
+                .where(F.col("gid") == 0)
+                .select("state", "year", "quarter", "brand", F.col("users").alias("user_count"),
+                        "registered_users", "app_opens"))
 
     @cached_property
     def aggregated_insurance(self) -> DataFrame:
@@ -119,41 +125,32 @@ class DerivedTables:
                 .agg(F.count(F.lit(1)).alias("insurance_count"), _money_sum("ext").alias("insurance_amount")))
 
     @staticmethod
-    def _two_levels(pin: DataFrame, sums: list[str]) -> DataFrame:
-        """District rows rolled up from pincode rows, then both levels in one table."""
-        dist = (pin.groupBy("state", "district", "year", "quarter")
-                .agg(*[(_money_sum(c) if c.endswith("amount") else F.sum(c)).alias(c) for c in sums])
-                .withColumn("pincode", F.lit(None).cast("string")))
-        pins = pin.withColumn("district", F.lit(None).cast("string"))
-        cols = ["state", "district", "pincode", "year", "quarter"] + sums
-        return dist.select(cols).unionByName(pins.select(cols))
+    def _two_levels(src: DataFrame, *aggs: F.Column) -> DataFrame:
+        """District rows and pincode rows of the top tier in one pass.
+
+        GROUPING SETS (state, district, period) and (state, pincode, period): columns
+        outside a set come out NULL, which is exactly the union of the two levels. One
+        Expand + partial aggregate, one shuffle, no second scan and no union.
+        """
+        keys = ["state", "district", "pincode", "year", "quarter"]
+        g = src.groupingSets([["state", "district", "year", "quarter"], ["state", "pincode", "year", "quarter"]],
+                             *keys).agg(*aggs)
+        return g.select(*keys, *[c for c in g.columns if c not in keys])
 
     @cached_property
     def top_transaction(self) -> DataFrame:
-        pin = (self.fx_order.groupBy("state", "district", "pincode", "year", "quarter")
-               .agg(F.count(F.lit(1)).alias("transaction_count"), _money_sum("amount").alias("transaction_amount")))
-        return self._two_levels(pin, ["transaction_count", "transaction_amount"])
+        return self._two_levels(self.fx_order, F.count(F.lit(1)).alias("transaction_count"),
+                                _money_sum("amount").alias("transaction_amount"))
 
     @cached_property
     def top_user(self) -> DataFrame:
-        # Distinct customers per place. Orders are first reduced to the (place, period,
-        # customer) grain once; both levels count distinct customers from that frame.
-        cust = self.fx_order.select("state", "district", "pincode", "year", "quarter", "o_custkey").distinct()
-        dist = (cust.groupBy("state", "district", "year", "quarter")
-                .agg(F.count_distinct("o_custkey").alias("registered_users"))
-                .withColumn("pincode", F.lit(None).cast("string")))
-        pins = (cust.groupBy("state", "pincode", "year", "quarter")
-                .agg(F.count_distinct("o_custkey").alias("registered_users"))
-                .withColumn("district", F.lit(None).cast("string")))
-        cols = ["state", "district", "pincode", "year", "quarter", "registered_users"]
-        return dist.select(cols).unionByName(pins.select(cols))
+        return self._two_levels(self.fx_order, F.count_distinct("o_custkey").alias("registered_users"))
 
     @cached_property
     def top_insurance(self) -> DataFrame:
-        pin = (self.fx_line.where(F.col("l_returnflag") == "R")
-               .groupBy("state", "district", "pincode", "year", "quarter")
-               .agg(F.count(F.lit(1)).alias("insurance_count"), _money_sum("ext").alias("insurance_amount")))
-        return self._two_levels(pin, ["insurance_count", "insurance_amount"])
+        return self._two_levels(self.fx_line.where(F.col("l_returnflag") == "R"),
+                                F.count(F.lit(1)).alias("insurance_count"),
+                                _money_sum("ext").alias("insurance_amount"))
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
