@@ -1,3 +1,30 @@
-"""Registered ingest queries and their oracle SQL."""
+"""Ingest round trips: each of the nine tables is serialised into the source's JSON
+payload layout, parsed back with the fixed schema and flattened by the ingest
+operators. The result must equal the table, with the state name as the ingest
+derives it from the file path (slug title-cased)."""
 
 from __future__ import annotations
+
+from qtrlens.plans.registry import register
+from qtrlens.schemas import TABLE_SCHEMAS
+from qtrlens.sources.payloads import round_trip
+
+
+def _title_sql(state: str) -> str:
+    # slug (lower, blanks to hyphens) -> hyphens to blanks -> capitalise each word
+    return (f"array_to_string(list_transform(string_split(replace(lower(replace({state}, ' ', '-')), '-', ' '), ' '), "
+            f"lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ')")
+
+
+def _register_round_trip(table: str) -> None:
+    cols = [f.name for f in TABLE_SCHEMAS[table].fields]
+    sel = ", ".join(_title_sql("state") + " as state" if c == "state" else c for c in cols)
+    where = " where district is not null" if table == "map_user" else ""
+
+    @register(f"ingest_roundtrip_{table}", f"select {sel} from {table}{where}")
+    def _q(t, _table=table):
+        return round_trip(t.table(_table), _table)
+
+
+for _t in TABLE_SCHEMAS:
+    _register_round_trip(_t)
