@@ -12,8 +12,8 @@ DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer's size estimate of ``df`` (after pruning), or None if unavailable."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return size if isinstance(size, int) else int(size.toString())
     except Exception:  # Spark Connect or an unexpected plan: no estimate
         return None
 

@@ -45,7 +45,8 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # importing the catalogs fills the registry
-    from qtrlens.plans import catalog_insurance, catalog_ingest, catalog_signals, catalog_txn, catalog_users  # noqa: F401
+    from qtrlens.plans import (catalog_ingest, catalog_insurance, catalog_pivots, catalog_signals,  # noqa: F401
+                               catalog_txn, catalog_users)
 
 
 def queries() -> dict[str, QueryFn]:
@@ -55,4 +56,5 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     _load_all()
-    return {k: with_fixture_ctes(e.sql) for k, e in _ENTRIES.items() if e.sql}
+    from qtrlens.plans.sqlx import half_up_rounds
+    return {k: half_up_rounds(with_fixture_ctes(e.sql)) for k, e in _ENTRIES.items() if e.sql}

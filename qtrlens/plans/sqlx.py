@@ -83,3 +83,39 @@ def fmt_rupees(x: str) -> str:
 def dedup_users(src: str = "aggregated_user") -> str:
     return (f"(select state, year, quarter, max(registered_users) as registered_users, "
             f"max(app_opens) as app_opens from {src} group by state, year, quarter)")
+
+
+def half_up_rounds(sql: str) -> str:
+    """Make every ``round(x, d)`` of an oracle text round half-up on the shortest
+    decimal form of ``x``, as Spark's ``round`` does (DuckDB's double ``round`` works
+    on the binary value: 199/40 = 4.975 gives 4.97 there, 4.98 in Spark and in SQL
+    on exact decimals). Rewrites ``round(x, d)`` to
+    ``cast(round(cast(cast(x as varchar) as decimal(38,20)), d) as double)``.
+    """
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, comma = 0, j + 6, -1
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                comma = k
+            k += 1
+        inner_x = half_up_rounds(sql[j + 6:comma])
+        digits = sql[comma + 1:k].strip()
+        out.append(sql[i:j])
+        out.append(f"cast(round(cast(cast({inner_x} as varchar) as decimal(38,20)), {digits}) as double)")
+        i = k + 1
