@@ -50,6 +50,19 @@ def resolve_selection(df: DataFrame, years: Sequence[int] | None, states: Sequen
     return Selection(sorted(ys, reverse=True), sorted(s for s in ss if s is not None))
 
 
+def newest_years(df: DataFrame, n: int = 2) -> DataFrame:
+    """The ``n`` newest years present in ``df``, as a one-column DataFrame (at most n rows)."""
+    return df.select("year").distinct().orderBy(F.col("year").desc()).limit(n)
+
+
+def select_newest_years(df: DataFrame, n: int = 2, years_from: DataFrame | None = None) -> DataFrame:
+    """Rows of the ``n`` newest years (of ``years_from``, default ``df``): the dashboard's
+    default year selection as a semi join, computed on the cluster (no driver collect).
+    The key set has at most ``n`` rows, so broadcasting it is bounded by construction."""
+    keys = newest_years(years_from if years_from is not None else df, n)
+    return df.join(F.broadcast(keys), "year", "left_semi")
+
+
 def one_state(df: DataFrame, state: str) -> DataFrame:
     return df.where(F.col("state") == state)
 

@@ -158,3 +158,17 @@ with k as (select (select {sc('insurance_count')} from {T3}) as policies,
 select *, round({share('policies', 'registered_users')}, 4) as penetration_pct from k""")
 def _q(t):
     return ins.national_penetration(t.aggregated_insurance, t.aggregated_user)
+
+
+@register("insurance_penetration_recent", f"""
+select ai.state, {sc('ai.insurance_count')} as total_policies, {sm('ai.insurance_amount')} as total_premium,
+  round({ratio('sum(ai.insurance_amount)', 'sum(ai.insurance_count)')}, 0) as avg_premium_per_policy,
+  au.total_users as total_reg_users,
+  round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_pct
+from (select * from {T3} where year in (select distinct year from {T3} order by year desc limit 2)) ai
+  left join {USERS_ROWS} au on ai.state = au.state
+group by ai.state, au.total_users order by penetration_pct asc""")
+def _q(t):
+    """Page form: the year selection filters insurance only; users stay unfiltered."""
+    from qtrlens.operators.filters import select_newest_years
+    return ins.insurance_penetration(select_newest_years(t.aggregated_insurance, 2), t.aggregated_user)
