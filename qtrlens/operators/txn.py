@@ -208,11 +208,13 @@ def concentration_index(df: DataFrame, parent: list[str], child: str, value: str
     """Herfindahl index of ``child`` shares of ``value`` within each ``parent`` group.
 
     Shares are rounded to ``round_shares`` digits before squaring, as the statement
-    does. Child and parent totals are two partial aggregates joined on the parent key,
-    so a parent with millions of children never lands in one task.
+    does. Child totals are a partial aggregate; parent totals roll up from them and are
+    joined back on the parent key, so a parent with millions of children never lands in
+    one task.
     """
     child_tot = df.groupBy(*parent, child).agg(sum_money(value, "child_amount"))
-    parent_tot = df.groupBy(*parent).agg(sum_money(value, "parent_amount"))
+    # parent totals roll up from the child totals: one aggregation chain, not two scans
+    parent_tot = child_tot.groupBy(*parent).agg(sum_money("child_amount", "parent_amount"))
     share = F.round(ratio("child_amount", "parent_amount"), round_shares).cast(f"decimal({round_shares + 6},{round_shares})")
     sq = child_tot.join(broadcast_if_small(parent_tot), parent, "inner").select(*parent, (share * share).alias("sq"))
     agg = sq.groupBy(*parent).agg(F.sum("sq").alias("_hhi"))

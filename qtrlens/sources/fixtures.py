@@ -137,6 +137,31 @@ class DerivedTables:
                              *keys).agg(*aggs)
         return g.select(*keys, *[c for c in g.columns if c not in keys])
 
+    _TOP_SOURCES = {
+        "top_transaction": ("fx_order", None, lambda: [F.count(F.lit(1)).alias("transaction_count"),
+                                                         _money_sum("amount").alias("transaction_amount")]),
+        "top_user": ("fx_order", None, lambda: [F.count_distinct("o_custkey").alias("registered_users")]),
+        "top_insurance": ("fx_line", "R", lambda: [F.count(F.lit(1)).alias("insurance_count"),
+                                                    _money_sum("ext").alias("insurance_amount")]),
+    }
+
+    def top_level(self, table: str, level: str) -> DataFrame:
+        """Only the ``district`` or only the ``pincode`` rows of a top-tier table.
+
+        Same rows as ``table.where(level IS NOT NULL)`` but aggregated at that one grain:
+        a filter after GROUPING SETS cannot drop the other set, so a one-level query
+        would otherwise compute both grains.
+        """
+        src_name, flag, aggs = self._TOP_SOURCES[table]
+        src = getattr(self, src_name)
+        if flag:
+            src = src.where(F.col("l_returnflag") == flag)
+        other = "pincode" if level == "district" else "district"
+        g = (src.groupBy("state", level, "year", "quarter").agg(*aggs())
+             .withColumn(other, F.lit(None).cast("string")))
+        keys = ["state", "district", "pincode", "year", "quarter"]
+        return g.select(*keys, *[c for c in g.columns if c not in keys]).where(F.col(level).isNotNull())
+
     @cached_property
     def top_transaction(self) -> DataFrame:
         return self._two_levels(self.fx_order, F.count(F.lit(1)).alias("transaction_count"),
@@ -155,6 +180,49 @@ class DerivedTables:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def materialize(self, out_dir: str | None = None, tables: list[str] | None = None) -> "StoredTables":
+        """ETL: write the nine tables once, as Parquet partitioned by ``year``.
+
+        The two shared join grains (order-level and line-level facts) are checkpointed
+        first: a reliable checkpoint in ``spark.checkpoint.dir`` cuts their lineage, so
+        the tables built from them read the checkpoint instead of re-joining line items
+        five times, and a lost executor costs a re-read, not a re-join. The default
+        output folder is under the shared checkpoint folder too.
+        """
+        from qtrlens.schemas import TABLES
+        from qtrlens.session import ensure_checkpoint_dir
+        from qtrlens.sinks import write_table
+        root = ensure_checkpoint_dir(self.spark).rstrip("/")
+        out = (out_dir or f"{root}/tables").rstrip("/")
+        names = tables or TABLES
+        staged = DerivedTables(self.spark, self.sf_dir)
+        staged.__dict__["fx_order"] = self.fx_order.checkpoint(eager=True)
+        if any(n in ("aggregated_user", "aggregated_insurance", "map_user", "map_insurance", "top_insurance")
+               for n in names):
+            staged.__dict__["fx_line"] = staged.fx_line.checkpoint(eager=True)
+        self.rows_written = {n: write_table(staged.table(n), f"{out}/{n}") for n in names}
+        return StoredTables(self.spark, out)
+
+
+class StoredTables:
+    """The nine tables read back from Parquet (same interface as ``DerivedTables``)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def table(self, name: str) -> DataFrame:
+        from qtrlens.sinks import read_table
+        return read_table(self.spark, f"{self.root}/{name}", name)
+
+    def top_level(self, table: str, level: str) -> DataFrame:
+        return self.table(table).where(F.col(level).isNotNull())
+
+    def __getattr__(self, name: str) -> DataFrame:
+        from qtrlens.schemas import TABLE_SCHEMAS
+        if name in TABLE_SCHEMAS:
+            return self.table(name)
+        raise AttributeError(name)
+
 
 # ---- the same definitions as SQL text (DuckDB oracle; FIXTURES.md §A) --------------
 # The oracle inlines these as leading CTEs, since DuckDB only knows the driver tables.
