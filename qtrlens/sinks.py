@@ -62,3 +62,25 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     from qtrlens.schemas import TABLE_SCHEMAS
     from qtrlens.sources.ingest import conform
     return conform(spark.read.schema(TABLE_SCHEMAS[table]).parquet(path), table)
+
+
+NATURAL_KEYS = {
+    "aggregated_transaction": ["state", "year", "quarter", "transaction_type"],
+    "aggregated_insurance": ["state", "year", "quarter"],
+    "map_transaction": ["state", "district", "year", "quarter"],
+    "map_insurance": ["state", "district", "year", "quarter"],
+}
+
+
+def natural_key_totals(df: DataFrame, table: str) -> DataFrame:
+    """The dashboard's table loaders: sum the measures per natural key (S13, S15).
+
+    On a table loaded more than once by appending (the source's H24) this adds the
+    copies up, exactly as the source's loaders do; with idempotent writes it is a
+    no-op reshaping. Partial aggregation keeps the shuffle to one row per key per task.
+    """
+    from qtrlens.schemas import TABLE_SCHEMAS
+    keys = NATURAL_KEYS[table]
+    measures = [f.name for f in TABLE_SCHEMAS[table].fields if f.name not in keys]
+    out = df.groupBy(*keys).agg(*[F.sum(m).cast(TABLE_SCHEMAS[table][m].dataType).alias(m) for m in measures])
+    return out.select(*[f.name for f in TABLE_SCHEMAS[table].fields])
