@@ -8,7 +8,7 @@ from qtrlens.plans.sqlx import crore, growth, growth_floor1, period, sc, sm
 
 
 def _dense(src: str, index: str, col: str, val: str) -> str:
-    """Complete index x column grid with 0 where a cell has no row."""
+    """Complete index x column grid with 0 where a cell has no row (one row per cell)."""
     return (f"(select k.{index}, c.{col}, coalesce(s.{val}, 0) as {val} from (select distinct {index} from {src}) k "
             f"cross join (select distinct {col} from {src}) c "
             f"left join {src} s on s.{index} = k.{index} and s.{col} = c.{col})")
@@ -37,7 +37,7 @@ def _q(t):
 with b as (select state, brand, {sc('user_count')} as user_count from aggregated_user where brand is not null
            group by state, brand),
 g as {_dense('b', 'state', 'brand', 'user_count')}
-select * from (pivot g on brand using sum(user_count) group by state)""")
+select * from (pivot g on brand using max(user_count) group by state)""")
 def _q(t):
     return pivots.state_brand_matrix(t.aggregated_user)
 

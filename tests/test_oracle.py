@@ -21,6 +21,16 @@ def _norm(v):
     return v
 
 
+_EQUIV = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT",
+          "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def _same_type(spark_t, duck_t):
+    if spark_t.startswith("decimal"):
+        return duck_t.replace(" ", "").upper() == spark_t.replace(" ", "").upper()
+    return _EQUIV.get(spark_t, spark_t).upper() == duck_t.upper()
+
+
 def _rows(records, cols):
     return sorted((tuple(_norm(r[c]) for c in cols) for r in records), key=repr)
 
@@ -39,6 +49,9 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [c[0] for c in res.description]
     drecs = [dict(zip(dcols, r)) for r in res.fetchall()]
     assert sorted(sdf.columns) == sorted(dcols)
+    dtypes = {c[0]: str(c[1]) for c in res.description}
+    for c, t in sdf.dtypes:
+        assert _same_type(t, dtypes[c]), (c, t, dtypes[c])
     cols = sorted(dcols)
     assert _rows(srecs, cols) == _rows(drecs, cols)
 
