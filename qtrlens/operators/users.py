@@ -199,6 +199,11 @@ def brand_gap(t2: DataFrame, state: str) -> DataFrame:
     b = (b.withColumn("share_pct", F.round(share_pct("users", F.sum("users").over(whole())), 1))
          .withColumn("opens_per_user", F.round(dbl("opens") / dbl(floor1("users")), 1)))
     b = b.withColumn("gap", F.col("share_pct") - pct_rank_avg("opens_per_user") * F.lit(100.0))
+    # the page's reference lines: mean share and mean opens per user over the brands
+    b = (b.withColumn("mean_share_pct", ratio(F.sum(F.col("share_pct").cast("decimal(20,1)")).over(whole()),
+                                              F.count("share_pct").over(whole())))
+         .withColumn("mean_opens_per_user", ratio(F.sum(F.col("opens_per_user").cast("decimal(20,1)")).over(whole()),
+                                                  F.count("opens_per_user").over(whole()))))
     return b.orderBy(F.col("gap").desc_nulls_last(), "brand")
 
 
