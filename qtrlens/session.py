@@ -52,10 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` must point at shared storage and is set by
-    the platform; we read it and never override it. Local runs get a fresh folder.
+    the platform; we read it and never override it (and refuse to invent one). Only a
+    local-mode session without the setting (tests, the bench) gets a fresh folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
+                               "(a machine-local folder does not survive executor loss)")
         current = tempfile.mkdtemp(prefix="qtrlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
