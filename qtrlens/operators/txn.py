@@ -353,6 +353,12 @@ def category_table(t1: DataFrame, top_n: int | None = None) -> DataFrame:
     return top_k(c, top_n, "amount", ["transaction_type"])
 
 
+def category_totals(t1: DataFrame) -> DataFrame:
+    """Count and amount per category (the overview's two category charts)."""
+    return (t1.groupBy("transaction_type").agg(sum_count(CNT, "transaction_count"), sum_money(AMT, "transaction_amount"))
+            .orderBy("transaction_type"))
+
+
 def quarterly_totals(t1: DataFrame) -> DataFrame:
     q = t1.groupBy("year", "quarter").agg(sum_money(AMT, "amount"), sum_count(CNT, "count"))
     return (q.select("year", "quarter", "amount", "count", period().alias("period"), crore("amount").alias("amount_cr"))

@@ -244,6 +244,14 @@ def reg_trend(t8: DataFrame) -> DataFrame:
             .withColumn("period", period()).orderBy("state", "year", "quarter"))
 
 
+def reg_volume(t8: DataFrame, states: list[str] | None = None) -> DataFrame:
+    """Registrations per state and quarter (the volume chart); ``states`` optionally
+    restricts the series (the page draws its first selected states)."""
+    src = t8 if not states else t8.where(F.col("state").isin(states))
+    q = src.groupBy("state", "year", "quarter").agg(sum_count("registered_users", "registered_users"))
+    return q.withColumn("period", period()).orderBy("state", "year", "quarter")
+
+
 def reg_avg_growth(t8: DataFrame, year: int, k: int = 10) -> DataFrame:
     """Mean quarterly registration growth per state within ``year`` (top ``k``)."""
     r = reg_trend(t8).where(F.col("year") == year)
