@@ -37,6 +37,8 @@ def dedup_users(t2: DataFrame) -> DataFrame:
 
     ``registered_users``/``app_opens`` repeat on every brand row; ``max`` picks the
     repeated value deterministically (pandas ``drop_duplicates`` keeps the first).
+    Idempotent: applied to an already de-duplicated frame (``DerivedTables.user_totals``)
+    it returns the same rows, so operators reading only de-duplicated users take either.
     """
     return (t2.groupBy("state", "year", "quarter")
             .agg(F.max("registered_users").alias("registered_users"),

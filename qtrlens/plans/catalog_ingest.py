@@ -23,7 +23,9 @@ def _register_round_trip(table: str) -> None:
 
     @register(f"ingest_roundtrip_{table}", f"select {sel} from {table}{where}")
     def _q(t, _table=table):
-        return round_trip(t.table(_table), _table)
+        levels = ((t.top_level(_table, "district"), t.top_level(_table, "pincode"))
+                  if _table.startswith("top_") else None)
+        return round_trip(t.table(_table), _table, levels)
 
 
 for _t in TABLE_SCHEMAS:

@@ -97,7 +97,7 @@ p as (select i.state, "count", amount, registered_users,
 select *, {ratio('sum(cast(penetration_pct as decimal(20,3))) over ()', 'count(penetration_pct) over ()')}
   as mean_penetration_pct from p""")
 def _q(t):
-    return ins.penetration_dedup(t.aggregated_insurance, t.aggregated_user)
+    return ins.penetration_dedup(t.aggregated_insurance, t.user_totals)
 
 
 @register("insurance_period", f"""
@@ -128,7 +128,7 @@ c as (select *, case when opportunity_score > -2.0::double and opportunity_score
 
 @register("opportunity_cut", _OPP_CUT + "\nselect * from c")
 def _q(t):
-    return ins.opportunity_cut(t.aggregated_insurance, t.aggregated_user)
+    return ins.opportunity_cut(t.aggregated_insurance, t.user_totals)
 
 
 @register("opportunity_rollup", _OPP_CUT + f"""
@@ -137,12 +137,12 @@ select priority, state, {sc('registered_users')} as users,
   round({ratio('sum(cast(opportunity_score as double) * cast(registered_users as double))', 'sum(registered_users)')}, 3) as score
 from c where priority is not null group by rollup (priority, state)""")
 def _q(t):
-    return ins.opportunity_rollup(t.aggregated_insurance, t.aggregated_user)
+    return ins.opportunity_rollup(t.aggregated_insurance, t.user_totals)
 
 
 @register("opportunity_top5", _OPP_CUT + "\nselect * from c order by opportunity_score desc nulls last, state limit 5")
 def _q(t):
-    return ins.opportunity_top(t.aggregated_insurance, t.aggregated_user, 5)
+    return ins.opportunity_top(t.aggregated_insurance, t.user_totals, 5)
 
 
 @register("insurance_by_state", f"""
@@ -157,7 +157,7 @@ with k as (select (select {sc('insurance_count')} from {T3}) as policies,
                   (select {sc('registered_users')} from {DEDUP} d) as registered_users)
 select *, round({share('policies', 'registered_users')}, 4) as penetration_pct from k""")
 def _q(t):
-    return ins.national_penetration(t.aggregated_insurance, t.aggregated_user)
+    return ins.national_penetration(t.aggregated_insurance, t.user_totals)
 
 
 @register("insurance_penetration_recent", f"""

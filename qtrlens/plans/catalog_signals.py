@@ -134,4 +134,4 @@ select year, amount, "count", registered_users, policies,
   {", ".join(f"round({growth(c, f'lag({c}) over (order by year)')}, 1) as {c.strip(chr(34))}_yoy_pct" for c in _COLS)}
 from j""")
 def _q(t):
-    return signals.kpi_delta(t.aggregated_transaction, t.aggregated_user, t.aggregated_insurance)
+    return signals.kpi_delta(t.aggregated_transaction, t.user_totals, t.aggregated_insurance)

@@ -119,6 +119,19 @@ class DerivedTables:
                 .select("state", "year", "quarter", "brand", F.col("users").alias("user_count"),
                         "registered_users", "app_opens"))
 
+    @cached_property
+    def user_totals(self) -> DataFrame:
+        """``aggregated_user`` de-duplicated to one row per (state, year, quarter).
+
+        Same rows as ``dedup_users(aggregated_user)`` (every state-quarter of the table
+        has at least one brand row), computed at that grain alone: one aggregate, no
+        brand grouping set and no window. Operators that only read de-duplicated users
+        accept it in place of the full table (de-duplicating it again is a no-op).
+        """
+        return (self.fx_line.where(F.col("state") != EXCLUDED_USER_STATE)
+                .groupBy("state", "year", "quarter")
+                .agg(F.count_distinct("o_custkey").alias("registered_users"), F.count(F.lit(1)).alias("app_opens")))
+
     @cached_property
     def aggregated_insurance(self) -> DataFrame:
         return (self.fx_line.where(F.col("l_returnflag") == "R").groupBy("state", "year", "quarter")

@@ -35,8 +35,12 @@ def _wrap(df: DataFrame, table: str, data: Column) -> DataFrame:
     return df.select(file_path(table).alias("file_path"), F.to_json(F.struct(data.alias("data"))).alias("json"))
 
 
-def payloads(df: DataFrame, table: str) -> DataFrame:
-    """``(file_path, json)`` rows in the source's payload shape for ``table``."""
+def payloads(df: DataFrame, table: str, levels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(file_path, json)`` rows in the source's payload shape for ``table``.
+
+    For the top tier, ``levels`` may give the district rows and the pincode rows as two
+    frames (each computed at its own grain) instead of splitting ``df`` by level.
+    """
     k = ["state", "year", "quarter"]
     if table == "aggregated_transaction":
         g = df.groupBy(*k).agg(F.collect_list(F.struct(
@@ -76,10 +80,11 @@ def payloads(df: DataFrame, table: str) -> DataFrame:
 
             def entry(name: str) -> Column:
                 return F.struct(F.col(name).alias("entityName"), _ca(c, a).alias("metric"))
-        dist = df.where(F.col("pincode").isNull()).groupBy(*k).agg(F.collect_list(entry("district")).alias("d"))
+        d_rows, p_rows = levels if levels else (df.where(F.col("pincode").isNull()), df.where(F.col("pincode").isNotNull()))
+        dist = d_rows.groupBy(*k).agg(F.collect_list(entry("district")).alias("d"))
         # the other level's list is empty: an empty slice keeps the element type
         dist = dist.withColumn("p", F.slice(F.col("d"), 1, 0))
-        pins = df.where(F.col("pincode").isNotNull()).select(*k, F.array(entry("pincode")).alias("p"))
+        pins = p_rows.select(*k, F.array(entry("pincode")).alias("p"))
         pins = pins.withColumn("d", F.slice(F.col("p"), 1, 0))
         both = dist.unionByName(pins)
         return _wrap(both, table, F.struct(F.col("d").alias("districts"), F.col("p").alias("pincodes")))
@@ -93,7 +98,7 @@ def parse_payloads(p: DataFrame, table: str) -> DataFrame:
     return with_path_keys(parsed.select("file_path", F.col("j.data").alias("data")))
 
 
-def round_trip(df: DataFrame, table: str) -> DataFrame:
+def round_trip(df: DataFrame, table: str, levels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Table -> payload JSON -> parse -> flatten -> table (state becomes the path's title)."""
     from qtrlens.sources.ingest import FLATTEN, conform
-    return conform(FLATTEN[table](parse_payloads(payloads(df, table), table)), table)
+    return conform(FLATTEN[table](parse_payloads(payloads(df, table, levels), table)), table)
