@@ -15,8 +15,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qtrlens.functions.aggs import mean_of_total, sum_count, sum_money
-from qtrlens.functions.expr import (band_greater, crore, dbl, diff_from_mean_pct, first_word, floor1,
+from qtrlens.functions.aggs import sum_count, sum_money
+from qtrlens.functions.expr import (crore, dbl, diff_from_mean_pct, first_word, floor1,
                                     fmt_crore, fmt_million, fmt_rupees, lakh, pct_change, pct_growth,
                                     period, ratio, share_pct, sign_flag, zscore)
 from qtrlens.functions.joins import broadcast_if_small

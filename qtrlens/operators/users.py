@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from qtrlens.functions.aggs import dedup_users, sum_count
 from qtrlens.functions.expr import (dbl, floor1, million, ordinal, pct_growth, pct_growth_floor1, period,
                                     ratio, share_pct)
-from qtrlens.functions.joins import broadcast_if_small
 from qtrlens.functions.windows import pct_rank_avg, top_k, with_prev, whole
 
 
