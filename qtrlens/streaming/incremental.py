@@ -10,6 +10,8 @@ restarted run resumes from the last committed batch.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,7 +51,6 @@ def refresh(spark: SparkSession, root: str, out_dir: str, tables: list[str] | No
     """Run the incremental ingest for each table to completion; input records read per table."""
     added: dict[str, int] = {}
     for table in tables or list(SOURCES):
-        import os
         if "://" not in root and not os.path.isdir(SOURCES[table].base(root)):
             added[table] = 0
             continue
