@@ -45,3 +45,11 @@ def test_two_grain_tables_scan_once(spark):
     for name in ["top_transaction", "top_user", "top_insurance", "aggregated_user"]:
         text = t.table(name)._jdf.queryExecution().optimizedPlan().toString()
         assert "Expand" in text and "Union" not in text, name
+
+
+def test_aggregates_are_partial_before_shuffle(spark):
+    """Map-side combine: a hot key costs one row per task in the shuffle."""
+    t = DerivedTables(spark, SF)
+    for name in ["aggregated_transaction", "top_transaction", "aggregated_user", "user_totals"]:
+        text = t.table(name)._jdf.queryExecution().executedPlan().toString()
+        assert "partial_" in text, name
