@@ -2,8 +2,8 @@
 
 Every window here runs on an already aggregated frame whose partitions are bounded
 by the calendar (quarters per state) or by a small dimension (brands, categories).
-Shares over unbounded children (pincodes within a state) go through
-``share_by_join`` instead, which aggregates the totals and joins them back.
+Shares over unbounded children (pincodes within a state) are not windows: see
+``operators.txn.concentration_index`` (child totals rolled up and joined back).
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from qtrlens.functions.expr import ordinal, share_pct
-from qtrlens.functions.joins import broadcast_if_small
+from qtrlens.functions.expr import ordinal
 
 
 def whole() -> Window:
@@ -58,26 +57,6 @@ def with_prev(df: DataFrame, cols: Sequence[str] | str, keys: Sequence[str] | st
     return out
 
 
-def share_window(value: str, keys: Sequence[str] | str | None = None) -> Column:
-    """100 * value / sum(value) over the partition (bounded partitions only)."""
-    return share_pct(F.col(value), F.sum(value).over(Window.partitionBy(*_keys(keys))))
-
-
-def total_over(value: str, keys: Sequence[str] | str | None = None, fn=F.sum) -> Column:
-    return fn(value).over(Window.partitionBy(*_keys(keys)))
-
-
-def share_by_join(df: DataFrame, value: str, keys: Sequence[str], total_name: str) -> DataFrame:
-    """Attach ``sum(value)`` per ``keys`` as ``total_name`` by aggregate + join.
-
-    Safe for unbounded groups: totals are computed with partial aggregation and joined
-    back (broadcast only if the totals are provably small), so no group is ever
-    gathered into one task.
-    """
-    totals = df.groupBy(*keys).agg(F.sum(value).alias(total_name))
-    return df.join(broadcast_if_small(totals), list(keys), "inner")
-
-
 def pct_rank_avg(value: str, keys: Sequence[str] | str | None = None) -> Column:
     """pandas ``rank(pct=True)``: average rank of ties divided by the group size.
 
@@ -108,11 +87,16 @@ def top_k(df: DataFrame, k: int | None, value: str, tie: Sequence[str], ascendin
     return out if k is None else out.limit(k)
 
 
-def arg_best(key: str, value: str, largest: bool = True) -> Column:
+def arg_best(key: str, value: str, largest: bool = True, where: Column | None = None) -> Column:
     """Aggregate: the ``key`` with the largest (or smallest) ``value``; ties -> smallest key.
 
-    Built on ``min_by`` over a struct so it is an ordinary partial/final aggregate.
+    Rows with a NULL key or value (or failing ``where``) are ignored, like pandas
+    ``groupby().idxmax()``. Built on ``min_by`` over a struct, so it is an ordinary
+    partial/final aggregate (no sort, no window).
     """
     v = F.col(value)
     ordering = F.struct((-v) if largest else v, F.col(key))
-    return F.min_by(F.col(key), F.when(v.isNotNull() & F.col(key).isNotNull(), ordering))
+    keep = v.isNotNull() & F.col(key).isNotNull()
+    if where is not None:
+        keep = keep & where
+    return F.min_by(F.col(key), F.when(keep, ordering))

@@ -13,7 +13,7 @@ from qtrlens.functions.aggs import dedup_users, state_users, sum_count, sum_mone
 from qtrlens.functions.expr import (band_at_least, band_right_closed, crore, dbl, floor1, pct_change, pct_growth,
                                     period, ratio, share_pct, thousand)
 from qtrlens.functions.joins import broadcast_if_small
-from qtrlens.functions.windows import top_k, with_prev, whole
+from qtrlens.functions.windows import arg_best, top_k, whole, with_prev
 
 ICNT, IAMT = "insurance_count", "insurance_amount"
 
@@ -92,8 +92,7 @@ def kpi_insurance(t3: DataFrame) -> DataFrame:
     """Totals, average premium, state with the fewest policies (ties -> first by name)."""
     s = t3.groupBy("state").agg(sum_count(ICNT, "p"), sum_money(IAMT, "a"))
     out = s.agg(sum_count("p", "total_policies"), sum_money("a", "total_premium"),
-                F.min_by(F.col("state"), F.when(F.col("state").isNotNull() & F.col("p").isNotNull(),
-                                                 F.struct(F.col("p"), F.col("state")))).alias("lowest_state"))
+                arg_best("state", "p", largest=False).alias("lowest_state"))
     return (out.withColumn("avg_premium", dbl("total_premium") / dbl(F.greatest(F.col("total_policies"), F.lit(1))))
             .withColumn("policies_k", thousand("total_policies"))
             .withColumn("premium_cr", crore("total_premium")))

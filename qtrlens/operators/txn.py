@@ -20,7 +20,7 @@ from qtrlens.functions.expr import (crore, dbl, diff_from_mean_pct, first_word,
                                     fmt_crore, fmt_million, fmt_rupees, lakh, pct_change, pct_growth,
                                     period, ratio, share_pct, sign_flag, zscore)
 from qtrlens.functions.joins import broadcast_if_small
-from qtrlens.functions.windows import row_number_desc, top_k, with_prev, whole
+from qtrlens.functions.windows import arg_best, row_number_desc, top_k, whole, with_prev
 
 
 AMT, CNT = "transaction_amount", "transaction_count"
@@ -256,11 +256,8 @@ def kpi_txn(t1: DataFrame) -> DataFrame:
     out = g.agg(
         F.sum(F.when(by_state, F.col("amount"))).cast("decimal(38,2)").alias("total_amount"),
         F.sum(F.when(by_state, F.col("cnt"))).cast("bigint").alias("total_count"),
-        F.min_by(F.col("state"), F.when(by_state & F.col("state").isNotNull() & F.col("amount").isNotNull(),
-                                         F.struct(-F.col("amount"), F.col("state")))).alias("top_state"),
-        F.min_by(F.col("transaction_type"),
-                 F.when(by_type & F.col("transaction_type").isNotNull() & F.col("cnt").isNotNull(),
-                        F.struct(-F.col("cnt"), F.col("transaction_type")))).alias("top_category"))
+        arg_best("state", "amount", where=by_state).alias("top_state"),
+        arg_best("transaction_type", "cnt", where=by_type).alias("top_category"))
     return out.withColumn("top_category_word", first_word("top_category"))
 
 
@@ -300,8 +297,7 @@ def kpi_map(t4: DataFrame) -> DataFrame:
         F.count(F.when(by_state, F.col("state"))).cast("bigint").alias("states"),
         F.sum(F.when(by_state, F.col("amount"))).cast("decimal(38,2)").alias("total_amount"),
         F.sum(F.when(by_state, F.col("cnt"))).cast("bigint").alias("total_count"),
-        F.min_by(F.col("district"), F.when(by_dist & F.col("district").isNotNull() & F.col("amount").isNotNull(),
-                                            F.struct(-F.col("amount"), F.col("district")))).alias("top_district"))
+        arg_best("district", "amount", where=by_dist).alias("top_district"))
 
 
 def state_rank(t4: DataFrame, top_n: int = 10) -> DataFrame:

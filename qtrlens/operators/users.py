@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from qtrlens.functions.aggs import dedup_users, sum_count
 from qtrlens.functions.expr import (dbl, floor1, million, ordinal, pct_growth, pct_growth_floor1, period,
                                     ratio, share_pct)
-from qtrlens.functions.windows import pct_rank_avg, top_k, with_prev, whole
+from qtrlens.functions.windows import arg_best, pct_rank_avg, top_k, whole, with_prev
 
 
 
@@ -152,8 +152,7 @@ def kpi_users(t2: DataFrame) -> DataFrame:
     sq, br = F.col("gid") == 1, F.col("gid") == 14
     out = g.agg(F.sum(F.when(sq, F.col("reg"))).cast("bigint").alias("total_registered"),
                 F.sum(F.when(sq, F.col("opens"))).cast("bigint").alias("total_app_opens"),
-                F.min_by(F.col("brand"), F.when(br & F.col("brand").isNotNull() & F.col("users").isNotNull(),
-                                                 F.struct(-F.col("users"), F.col("brand")))).alias("top_brand"))
+                arg_best("brand", "users", where=br).alias("top_brand"))
     return out.withColumn("engagement_ratio", F.round(ratio("total_app_opens", "total_registered"), 2))
 
 
@@ -226,10 +225,8 @@ def kpi_registrations(t8: DataFrame, year: int, quarter: int, literal_prev: bool
     out = g.agg(
         F.coalesce(F.sum(F.when(st & F.col("_snap"), F.col("regs"))), F.lit(0)).cast("bigint").alias("registrations"),
         F.coalesce(F.sum(F.when(st & F.col("_prev"), F.col("regs"))), F.lit(0)).cast("bigint").alias("prev_registrations"),
-        F.min_by(F.col("state"), F.when(st & F.col("_snap") & F.col("state").isNotNull(),
-                                         F.struct(-F.col("regs"), F.col("state")))).alias("_ts"),
-        F.min_by(F.col("district"), F.when(di & F.col("_snap") & F.col("district").isNotNull(),
-                                            F.struct(-F.col("regs"), F.col("district")))).alias("_td"))
+        arg_best("state", "regs", where=st & F.col("_snap")).alias("_ts"),
+        arg_best("district", "regs", where=di & F.col("_snap")).alias("_td"))
     growth = (dbl("registrations") - dbl("prev_registrations")) / dbl(F.greatest(F.col("prev_registrations"), F.lit(1))) * 100.0
     return out.select("registrations", "prev_registrations", F.round(growth, 1).alias("growth_pct"),
                       F.coalesce("_ts", F.lit("N/A")).alias("top_state"),
