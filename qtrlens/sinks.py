@@ -36,24 +36,37 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     return rows
 
 
-def load_all(spark: SparkSession, root: str, out_dir: str, tables: list[str] | None = None) -> DataFrame:
-    """Ingest every table of the JSON tree into ``out_dir/<table>``, tier by tier.
+def run_jobs(jobs: dict[str, "callable"], parallel: int = 1) -> dict[str, tuple[int | None, str | None]]:
+    """Run independent Spark write jobs, ``parallel`` at a time (driver threads submit
+    jobs; no data passes through the driver). A failing job does not stop the others."""
+    def one(name, fn):
+        try:
+            return name, (fn(), None)
+        except Exception as e:  # noqa: BLE001 - reported, the other jobs still run
+            log.error("%s failed: %s", name, e)
+            return name, (None, f"{type(e).__name__}: {e}"[:500])
+    if parallel <= 1:
+        return dict(one(n, f) for n, f in jobs.items())
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return dict(pool.map(lambda kv: one(*kv), jobs.items()))
+
+
+def load_all(spark: SparkSession, root: str, out_dir: str, tables: list[str] | None = None,
+             parallel: int = 1) -> DataFrame:
+    """Ingest every table of the JSON tree into ``out_dir/<table>``, tier by tier
+    (``parallel`` > 1 runs that many table loads concurrently).
 
     A failing table does not stop the others; the report has one row per table:
     ``(tier, table, rows, error)``.
     """
     from qtrlens.sources.ingest import load_table
-    report = []
-    for tier, names in TIERS.items():
-        for name in names:
-            if tables and name not in tables:
-                continue
-            try:
-                rows = write_table(load_table(spark, root, name), f"{out_dir.rstrip('/')}/{name}")
-                report.append((tier, name, rows, None))
-            except Exception as e:  # noqa: BLE001 - reported, the next table still loads
-                log.error("load_all: %s failed: %s", name, e)
-                report.append((tier, name, None, f"{type(e).__name__}: {e}"[:500]))
+    base = out_dir.rstrip("/")
+    tier_of = {n: t for t, names in TIERS.items() for n in names}
+    jobs = {n: (lambda n=n: write_table(load_table(spark, root, n), f"{base}/{n}"))
+            for n in tier_of if not tables or n in tables}
+    done = run_jobs(jobs, parallel)
+    report = [(tier_of[n], n, *done[n]) for n in jobs]
     return spark.createDataFrame(report, "tier string, table string, rows bigint, error string")
 
 

@@ -209,14 +209,16 @@ class DerivedTables:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
-    def materialize(self, out_dir: str | None = None, tables: list[str] | None = None) -> "StoredTables":
+    def materialize(self, out_dir: str | None = None, tables: list[str] | None = None,
+                    parallel: int = 1) -> "StoredTables":
         """ETL: write the nine tables once, as Parquet partitioned by ``year``.
 
         The two shared join grains (order-level and line-level facts) are checkpointed
         first: a reliable checkpoint in ``spark.checkpoint.dir`` cuts their lineage, so
         the tables built from them read the checkpoint instead of re-joining line items
         five times, and a lost executor costs a re-read, not a re-join. The default
-        output folder is under the shared checkpoint folder too.
+        output folder is under the shared checkpoint folder too. ``parallel`` > 1 writes
+        that many tables concurrently (independent jobs submitted from driver threads).
         """
         from qtrlens.schemas import TABLES
         from qtrlens.session import ensure_checkpoint_dir
@@ -229,7 +231,12 @@ class DerivedTables:
         if any(n in ("aggregated_user", "aggregated_insurance", "map_user", "map_insurance", "top_insurance")
                for n in names):
             staged.__dict__["fx_line"] = staged.fx_line.checkpoint(eager=True)
-        self.rows_written = {n: write_table(staged.table(n), f"{out}/{n}") for n in names}
+        from qtrlens.sinks import run_jobs
+        done = run_jobs({n: (lambda n=n: write_table(staged.table(n), f"{out}/{n}")) for n in names}, parallel)
+        failed = {n: e for n, (_, e) in done.items() if e}
+        if failed:
+            raise RuntimeError(f"materialize failed for {sorted(failed)}: {failed}")
+        self.rows_written = {n: r for n, (r, _) in done.items()}
         return StoredTables(self.spark, out)
 
 
