@@ -130,3 +130,21 @@ def test_kpi_registrations_literal_q1_compares_with_itself(spark):
     assert cal["top_state"] == "S" and cal["top_district"] == "d"
     empty = users.kpi_registrations(t8, 2030, 1).first()
     assert empty["top_state"] == "N/A" and empty["registrations"] == 0
+
+
+def test_decline_runs_of_three(spark):
+    amounts = [10, 9, 8, 7, 8, 7]
+    t1 = t1_rows(spark, [("S", 2020 + i // 4, i % 4 + 1, "P2P", 1, a) for i, a in enumerate(amounts)])
+    got = [(r["year"], r["quarter"]) for r in txn.state_declines(t1, min_run=3).collect()]
+    assert got == [(2020, 4)]
+
+
+def test_calendar_lag_over_a_missing_year(spark):
+    df = spark.createDataFrame([(2019, 1), (2020, 2), (2022, 4)], "year smallint, v int")
+    cal = with_prev(df, "v", order=["year"], calendar=True).orderBy("year")
+    assert col(cal, "prev_v") == [None, 1, None]
+    g = users.user_growth_yoy(spark.createDataFrame(
+        [("S", 2019, 1, "b", 1, 100, 1), ("S", 2020, 1, "b", 1, 150, 1), ("S", 2022, 1, "b", 1, 300, 1)],
+        "state string, year smallint, quarter int, brand string, user_count bigint, registered_users bigint, "
+        "app_opens bigint"), calendar=True)
+    assert col(g, "yoy_growth_pct") == [None, 50.0, None]
