@@ -46,3 +46,11 @@ def test_operators_run_on_synthetic(spark):
     assert insurance.insurance_opportunity(t.aggregated_insurance, t.aggregated_user).count() == 15
     assert txn.district_hhi(t.map_transaction).count() == 15
     assert users.reg_top(t.top_user, 2024, 4).count() == 10
+
+
+def test_open_tables_switch(spark):
+    from qtrlens.sources.tables import open_tables
+    syn = open_tables(spark, "synthetic")
+    assert syn.aggregated_transaction.count() == 1500
+    der = open_tables(spark, "derived", "/root/testdata/sf0.001")
+    assert der.aggregated_insurance.count() > 0
