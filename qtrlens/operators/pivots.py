@@ -1,9 +1,9 @@
 """Matrix result sets (heatmaps): an aggregate pivoted on a bounded dimension.
 
-``groupBy(index).pivot(column, values).agg(...)`` is one aggregate: when ``values`` is
-not given Spark first reads the distinct values of ``column`` (periods, brands,
-categories: all small, bounded by the calendar or a dimension), then aggregates in
-one pass with a column per value.
+``groupBy(index).pivot(column, values).agg(...)`` is one aggregate with a column per
+value. When ``values`` is not given, the (small, aggregated) input is checkpointed once
+and the distinct values of ``column`` (periods, brands: bounded by the calendar or a
+dimension) are read from the checkpoint, so the raw data is read only once.
 """
 
 from __future__ import annotations
@@ -24,8 +24,16 @@ def pivot_matrix(df: DataFrame, index: Sequence[str], column: str, value: str, a
     """Rows = ``index``, one column per value of ``column``; missing cells ``fill``ed
     (None keeps NULL). ``agg='mean'`` is the pandas ``pivot_table`` default."""
     src = df.where(F.col(column).isNotNull())
-    g = src.groupBy(*index)
-    p = (g.pivot(column, list(values)) if values is not None else g.pivot(column)).agg(AGGS[agg](value))
+    if values is None:
+        # Without a value list Spark runs a separate job to find the distinct values,
+        # which would recompute the whole input (joins and aggregates) a second time.
+        # The input here is an aggregated, small frame: write it once as a reliable
+        # checkpoint, read the (bounded) value list from it, pivot from it.
+        from qtrlens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(src.sparkSession)
+        src = src.checkpoint(eager=True)
+        values = [r[0] for r in src.select(column).distinct().orderBy(column).collect()]
+    p = src.groupBy(*index).pivot(column, list(values)).agg(AGGS[agg](value))
     if fill is not None:
         p = p.na.fill(fill, subset=[c for c in p.columns if c not in index])
     return p.orderBy(*index)
