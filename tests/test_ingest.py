@@ -132,3 +132,10 @@ def test_incremental_refresh_reads_only_new_files(spark, tree, tmpdir_fresh):
     assert third["aggregated_user"] == 1
     table = sinks.read_table(spark, f"{out}/aggregated_user", "aggregated_user")
     assert rows(table, "quarter", "brand") == [(1, "Samsung"), (1, "Xiaomi"), (3, "Vivo")]
+
+
+def test_parallel_load_all_matches_sequential(spark, tree, tmpdir_fresh):
+    seq = {r["table"]: (r["rows"], r["error"]) for r in sinks.load_all(spark, tree, f"{tmpdir_fresh}/a").collect()}
+    par = {r["table"]: (r["rows"], r["error"])
+           for r in sinks.load_all(spark, tree, f"{tmpdir_fresh}/b", parallel=3).collect()}
+    assert seq == par and len(par) == 9
