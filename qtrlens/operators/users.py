@@ -124,8 +124,8 @@ def reg_hotspots(t8: DataFrame, start: tuple[int, int], end: tuple[int, int], k:
     First/last value per state are ``min_by``/``max_by`` on the quarter ordinal: a
     plain aggregate, so no window or DISTINCT over the state's rows is needed.
     """
-    lo, hi = start[0] * 4 + start[1], end[0] * 4 + end[1]
-    q = _state_quarter_regs(t8.where(ordinal().between(lo, hi))).withColumn("_ord", ordinal())
+    from qtrlens.operators.filters import period_range
+    q = _state_quarter_regs(period_range(t8, start, end)).withColumn("_ord", ordinal())
     g = q.groupBy("state").agg(F.min_by("regs", "_ord").alias("regs_start"), F.max_by("regs", "_ord").alias("regs_end"))
     g = g.withColumn("growth_over_period_pct", F.round(pct_growth("regs_end", "regs_start"), 2))
     return top_k(g, k, "growth_over_period_pct", ["state"])
@@ -222,7 +222,9 @@ def kpi_registrations(t8: DataFrame, year: int, quarter: int, literal_prev: bool
     else:
         py, pq = (year, quarter - 1) if quarter > 1 else (year - 1, 4)
     snap_ord, prev_ord = year * 4 + quarter, py * 4 + pq
-    rows = (t8.where(ordinal().isin(snap_ord, prev_ord))
+    # the year bound is redundant with the ordinal test but reaches the scan (partition
+    # pruning on year-partitioned tables); the ordinal handles the quarter edge
+    rows = (t8.where(F.col("year").isin(sorted({year, py})) & ordinal().isin(snap_ord, prev_ord))
             .withColumn("_snap", ordinal() == snap_ord).withColumn("_prev", ordinal() == prev_ord))
     g = (rows.groupingSets([["_snap", "_prev", "state"], ["_snap", "_prev", "district"]],
                            "_snap", "_prev", "state", "district")
