@@ -19,3 +19,11 @@ def test_materialize_round_trip(spark, tmpdir_fresh):
         sorted(insurance.insurance_opportunity(lazy.aggregated_insurance, lazy.aggregated_user).collect())
     assert sorted(users.reg_top(stored.top_level("top_user", "pincode"), 1995, 1, "pincode").collect()) == \
         sorted(users.reg_top(lazy.top_level("top_user", "pincode"), 1995, 1, "pincode").collect())
+
+
+def test_stored_tables_prune_year_partitions(spark, tmpdir_fresh):
+    stored = DerivedTables(spark, SF).materialize(f"{tmpdir_fresh}/t", tables=["top_user", "aggregated_transaction"])
+    plans = [users.kpi_registrations(stored.top_user, 2000, 4), users.reg_hotspots(stored.top_user, (1999, 3), (2000, 4))]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(year" in text and "year#" in text.split("PartitionFilters: [")[1][:80]
