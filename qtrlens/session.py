@@ -25,22 +25,13 @@ _DEFAULT_CONF = {
 }
 
 
-# Local mode only: above ~1 MB, building a broadcast hash table per query costs more
-# than a shuffle through local disk (measured at sf0.1). Cluster sessions keep their
-# own threshold; dimension joins are broadcast explicitly behind a size check anyway.
-_LOCAL_CONF = {
-    "spark.sql.autoBroadcastJoinThreshold": str(1024 * 1024),
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(1024 * 1024),
-}
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "qtrlens", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (never used inside the library)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app_name)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("QTRLENS_DRIVER_MEM", "8g")))
-    for k, v in {**_DEFAULT_CONF, **_LOCAL_CONF, **(extra or {})}.items():
+    for k, v in {**_DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,13 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     the platform; we read it and never override it (and refuse to invent one). Only a
     local-mode session without the setting (tests, the bench) gets a fresh folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
-                               "(a machine-local folder does not survive executor loss)")
-        current = tempfile.mkdtemp(prefix="qtrlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    context = spark.sparkContext
+    named, current = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if named and not current:
+        context.setCheckpointDir(named)
+    if named or current:
+        return named or current
+    if not (context.master or "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
+                           "(a machine-local folder does not survive executor loss)")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="qtrlens-ckpt-"))
+    return context.getCheckpointDir()
