@@ -73,7 +73,7 @@ class Encoder:
         where each text's ids start. Null counts as empty."""
         import pyarrow as pa
 
-        for lo, hi, data, off in chunks(column):
+        for lo, hi, data, off in chunks(column, 8 << 20):
             n = hi - lo
             space = data == 0x20
             blank = space | ((data >= 0x09) & (data <= 0x0D))
@@ -91,7 +91,9 @@ class Encoder:
             if len(cut) > 1:
                 arr = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
                 coded = arr.dictionary_encode()
-                found = self._ids(coded.dictionary.to_pylist())
+                _, ends, raw = coded.dictionary.buffers()
+                ends, raw = np.frombuffer(ends, np.int64)[: len(coded.dictionary) + 1].tolist(), raw.to_pybytes()
+                found = self._ids([raw[a:b] for a, b in zip(ends, ends[1:])])
                 sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 flat, where = np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
                 code = coded.indices.to_numpy()
