@@ -58,16 +58,11 @@ def newest_years(df: DataFrame, n: int = 2) -> DataFrame:
 def select_newest_years(df: DataFrame, n: int = 2, years_from: DataFrame | None = None) -> DataFrame:
     """Rows of the ``n`` newest years (of ``years_from``, default ``df``): the dashboard's
     default year selection as a semi join, computed on the cluster (no driver collect).
-    The key set has at most ``n`` rows, so broadcasting it is bounded by construction.
-
-    When the years come from ``df`` itself, ``df`` is written once as a reliable
-    checkpoint first: the key set and the filtered rows then both read the checkpoint
-    instead of recomputing ``df``'s whole lineage (joins included) twice.
+    The key set has at most ``n`` rows, so broadcasting it is bounded by construction. Give
+    ``years_from`` the narrowest frame that has the years (a date column, a partition
+    column): it is read for them alone. The semi join on a grouping key goes below the
+    aggregates of ``df``, so older years are dropped before they are summed.
     """
-    if years_from is None:
-        from qtrlens.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
     keys = newest_years(years_from if years_from is not None else df, n)
     return df.join(F.broadcast(keys), "year", "left_semi")
 

@@ -1,9 +1,8 @@
-"""Matrix result sets (heatmaps): an aggregate pivoted on a bounded dimension.
+"""Matrix result sets (heatmaps): an aggregate pivoted on a closed list of values.
 
-``groupBy(index).pivot(column, values).agg(...)`` is one aggregate with a column per
-value. When ``values`` is not given, the (small, aggregated) input is checkpointed once
-and the distinct values of ``column`` (periods, brands: bounded by the calendar or a
-dimension) are read from the checkpoint, so the raw data is read only once.
+``groupBy(index).pivot(column, values)`` is one lazy aggregate with a column per value. The
+quarters are four, and the year is part of the index, so the width does not grow with the
+calendar; brands are given by the caller. A value outside the list is an error, not a loss.
 """
 
 from __future__ import annotations
@@ -14,61 +13,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qtrlens.functions.aggs import sum_count, sum_money
-from qtrlens.functions.expr import crore, pct_growth, period
+from qtrlens.functions.expr import crore, pct_growth
 
 AGGS = {"sum": F.sum, "mean": F.avg, "first": F.first}
 
 
-def pivot_matrix(df: DataFrame, index: Sequence[str], column: str, value: str, agg: str = "sum",
-                 fill: float | None = 0.0, values: Sequence | None = None) -> DataFrame:
-    """Rows = ``index``, one column per value of ``column``; missing cells ``fill``ed
-    (None keeps NULL). ``agg='mean'`` is the pandas ``pivot_table`` default."""
+QUARTERS = {1: "q1", 2: "q2", 3: "q3", 4: "q4"}
+
+
+def pivot_matrix(df: DataFrame, index: Sequence[str], column: str, value: str, values: dict,
+                 agg: str = "sum", fill: float | None = 0.0) -> DataFrame:
+    """Rows = ``index``, one column per key of ``values`` (value -> column name); missing cells
+    ``fill``ed (None keeps NULL). ``agg='mean'`` is the pandas ``pivot_table`` default. Rows
+    with a NULL in ``column`` belong to no cell; a value that isn't listed raises."""
     src = df.where(F.col(column).isNotNull())
-    if values is None:
-        # Without a value list Spark runs a separate job to find the distinct values,
-        # which would recompute the whole input (joins and aggregates) a second time.
-        # The input here is an aggregated, small frame: write it once as a reliable
-        # checkpoint, read the (bounded) value list from it, pivot from it.
-        from qtrlens.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(src.sparkSession)
-        src = src.checkpoint(eager=True)
-        values = [r[0] for r in src.select(column).distinct().orderBy(column).collect()]
-    p = src.groupBy(*index).pivot(column, list(values)).agg(AGGS[agg](value))
+    known = F.when(F.col(column).isin(list(values)), F.col(column)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{column} outside the list: "), F.col(column).cast("string"))).cast(src.schema[column].dataType))
+    p = src.withColumn(column, known).groupBy(*index).pivot(column, list(values)).agg(AGGS[agg](value))
+    p = p.select(*index, *[F.col(f"`{k}`").alias(name) for k, name in values.items()])
     if fill is not None:
-        p = p.na.fill(fill, subset=[c for c in p.columns if c not in index])
+        p = p.na.fill(fill, subset=list(values.values()))
     return p.orderBy(*index)
 
 
 def category_period_matrix(t1: DataFrame) -> DataFrame:
-    """Category x period amount (crore), 0 where a category has no rows."""
+    """Category and year x quarter amount (crore), 0 where there are no rows."""
     q = (t1.groupBy("year", "quarter", "transaction_type").agg(sum_money("transaction_amount", "amount"))
-         .select("transaction_type", period().alias("period"), crore("amount").alias("amount_cr")))
-    return pivot_matrix(q, ["transaction_type"], "period", "amount_cr")
+         .select("transaction_type", "year", "quarter", crore("amount").alias("amount_cr")))
+    return pivot_matrix(q, ["transaction_type", "year"], "quarter", "amount_cr", QUARTERS)
 
 
 def category_qoq_matrix(t1: DataFrame) -> DataFrame:
-    """Category x period QoQ % (1 dp); the first period of each category stays NULL."""
-    q = (t1.groupBy("year", "quarter", "transaction_type").agg(sum_money("transaction_amount", "amount"))
-         .withColumn("period", period()))
-    w = Window.partitionBy("transaction_type").orderBy("period")
+    """Category and year x quarter QoQ % (1 dp); the first quarter of each category stays NULL."""
+    q = t1.groupBy("year", "quarter", "transaction_type").agg(sum_money("transaction_amount", "amount"))
+    w = Window.partitionBy("transaction_type").orderBy("year", "quarter")
     q = q.withColumn("qoq_pct", F.round(pct_growth("amount", F.lag("amount").over(w)), 1))
-    return pivot_matrix(q, ["transaction_type"], "period", "qoq_pct", agg="first", fill=None)
+    return pivot_matrix(q, ["transaction_type", "year"], "quarter", "qoq_pct", QUARTERS, agg="first", fill=None)
 
 
-def state_brand_matrix(t2: DataFrame) -> DataFrame:
+def state_brand_matrix(t2: DataFrame, brands: Sequence[str]) -> DataFrame:
     """State x brand device users, 0 where a brand is absent."""
     b = t2.groupBy("state", "brand").agg(sum_count("user_count", "user_count"))
-    return pivot_matrix(b, ["state"], "brand", "user_count", fill=0)
+    return pivot_matrix(b, ["state"], "brand", "user_count", {x: x for x in brands}, fill=0)
 
 
 def state_period_matrix(t4: DataFrame) -> DataFrame:
-    """State x period amount (crore) of the map tier, 0 fill."""
+    """State and year x quarter amount (crore) of the map tier, 0 fill."""
     q = (t4.groupBy("state", "year", "quarter").agg(sum_money("transaction_amount", "amount"))
-         .select("state", period().alias("period"), crore("amount").alias("amount_cr")))
-    return pivot_matrix(q, ["state"], "period", "amount_cr")
+         .select("state", "year", "quarter", crore("amount").alias("amount_cr")))
+    return pivot_matrix(q, ["state", "year"], "quarter", "amount_cr", QUARTERS)
 
 
 def reg_growth_matrix(t8: DataFrame) -> DataFrame:
-    """State x period registration growth % (mean per cell, then 0 fill)."""
+    """State and year x quarter registration growth % (mean per cell, then 0 fill)."""
     from qtrlens.operators.users import reg_trend
-    return pivot_matrix(reg_trend(t8), ["state"], "period", "growth_pct", agg="mean")
+    return pivot_matrix(reg_trend(t8), ["state", "year"], "quarter", "growth_pct", QUARTERS, agg="mean")

@@ -200,7 +200,9 @@ def state_quarter_trend(t4: DataFrame, calendar: bool = False) -> DataFrame:
             .orderBy("state", "year", "quarter"))
 
 
-HHI_BANDS = [(0.25, "Highly Concentrated"), (0.10, "Moderately Concentrated")]
+# Bounds and labels of the concentration bands.
+HHI_BANDS = [("0.25", "Highly Concentrated"), ("0.10", "Moderately Concentrated")]
+HHI_SALTS = 32
 
 
 def concentration_index(df: DataFrame, parent: list[str], child: str, value: str = AMT,
@@ -208,18 +210,19 @@ def concentration_index(df: DataFrame, parent: list[str], child: str, value: str
     """Herfindahl index of ``child`` shares of ``value`` within each ``parent`` group.
 
     Shares are rounded to ``round_shares`` digits before squaring, as the statement
-    does. Child totals are a partial aggregate; parent totals roll up from them and are
-    joined back on the parent key, so a parent with millions of children never lands in
-    one task.
+    does. Child totals are a partial aggregate; the parent totals roll up from them and
+    meet them on (parent, salt), so the children of one parent are spread over ``HHI_SALTS``
+    tasks and reach the last step as one partial sum per task.
     """
     child_tot = df.groupBy(*parent, child).agg(sum_money(value, "child_amount"))
-    # parent totals roll up from the child totals: one aggregation chain, not two scans
     parent_tot = child_tot.groupBy(*parent).agg(sum_money("child_amount", "parent_amount"))
+    parent_tot = parent_tot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HHI_SALTS - 1))))
+    salted = child_tot.withColumn("_salt", F.pmod(F.hash(child), F.lit(HHI_SALTS)))
     share = F.round(ratio("child_amount", "parent_amount"), round_shares).cast(f"decimal({round_shares + 6},{round_shares})")
-    sq = child_tot.join(broadcast_if_small(parent_tot), parent, "inner").select(*parent, (share * share).alias("sq"))
+    sq = salted.join(parent_tot, [*parent, "_salt"], "inner").select(*parent, (share * share).alias("sq"))
     agg = sq.groupBy(*parent).agg(F.sum("sq").alias("_hhi"))
-    band = (F.when(F.col("_hhi") > F.lit(Decimal("0.25")), HHI_BANDS[0][1])
-            .when(F.col("_hhi") > F.lit(Decimal("0.10")), HHI_BANDS[1][1])
+    band = (F.when(F.col("_hhi") > F.lit(Decimal(HHI_BANDS[0][0])), HHI_BANDS[0][1])
+            .when(F.col("_hhi") > F.lit(Decimal(HHI_BANDS[1][0])), HHI_BANDS[1][1])
             .otherwise("Well Distributed"))
     return (agg.select(*parent, F.round("_hhi", 4).cast("double").alias("hhi_concentration_index"),
                        band.alias("distribution_type"))

@@ -30,36 +30,31 @@ def _q(t):
 
 
 @register("insurance_penetration", f"""
-select ai.state, {sc('ai.insurance_count')} as total_policies, {sm('ai.insurance_amount')} as total_premium,
-  round({ratio('sum(ai.insurance_amount)', 'sum(ai.insurance_count)')}, 0) as avg_premium_per_policy,
-  au.total_users as total_reg_users,
-  round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_pct
-from {T3} ai left join {USERS_ROWS} au on ai.state = au.state
-group by ai.state, au.total_users order by penetration_pct asc""")
+from (select state, {sc('insurance_count')} as total_policies, {sm('insurance_amount')} as total_premium from {T3} group by state) p
+left join (select state, {sc('registered_users')} as total_reg_users from {T2} group by state) u using (state)
+select state, total_policies, total_premium, round({ratio('total_premium', 'total_policies')}, 0) as avg_premium_per_policy, total_reg_users,
+  round({share('total_policies', 'total_reg_users')}, 4) as penetration_pct""")
 def _q(t):
     return ins.insurance_penetration(t.aggregated_insurance, t.aggregated_user)
 
 
 @register("insurance_growth_yoy", f"""
-with annual as (select year, {sc('insurance_count')} as policies, {sm('insurance_amount')} as premium from {T3} group by year)
-select year, policies, premium, lag(policies) over (order by year) as prev_policies,
-  round({growth('policies', 'lag(policies) over (order by year)')}, 2) as yoy_policy_growth,
-  round({growth('premium', 'lag(premium) over (order by year)')}, 2) as yoy_premium_growth
-from annual order by year""")
+with y as (select year, {sc('insurance_count')} as policies, {sm('insurance_amount')} as premium, row_number() over (order by year) as nth from {T3} group by year)
+select this.year, this.policies, this.premium, past.policies as prev_policies,
+  round({growth('this.policies', 'past.policies')}, 2) as yoy_policy_growth, round({growth('this.premium', 'past.premium')}, 2) as yoy_premium_growth
+from y this left join y past on past.nth + 1 = this.nth""")
 def _q(t):
     return ins.insurance_growth_yoy(t.aggregated_insurance)
 
 
 @register("insurance_opportunity", f"""
-with pen as (select ai.state, {sc('ai.insurance_count')} as policies, au.total_users,
-               round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_pct
-             from {T3} ai left join {USERS_ROWS} au on ai.state = au.state group by ai.state, au.total_users),
-scored as (select *, round({ratio('total_users', 'max(total_users) over ()')}
-                           - {ratio('penetration_pct', 'max(penetration_pct) over ()')}, 3) as opportunity_score from pen)
-select *, case when opportunity_score >= 0.3::double then 'Critical Priority'
-               when opportunity_score >= 0.1::double then 'High Priority'
-               when opportunity_score >= 0.0::double then 'Medium Priority' else 'Low Priority' end as campaign_priority
-from scored order by opportunity_score desc""")
+with p as (select state, {sc('insurance_count')} as policies from {T3} group by state),
+u as (select state, {sc('registered_users')} as total_users from {T2} group by state),
+r as (select state, policies, total_users, round({share('policies', 'total_users')}, 4) as penetration_pct from p left join u using (state)),
+s as (select r.*, round({ratio('total_users', '(select max(total_users) from r)')} - {ratio('penetration_pct', '(select max(penetration_pct) from r)')}, 3)
+        as opportunity_score from r)
+select s.*, ['Low', 'Medium', 'High', 'Critical'][1 + coalesce((opportunity_score >= 0)::int + (opportunity_score >= 0.1::double)::int
+  + (opportunity_score >= 0.3::double)::int, 0)] || ' Priority' as campaign_priority from s""")
 def _q(t):
     return ins.insurance_opportunity(t.aggregated_insurance, t.aggregated_user)
 
@@ -161,14 +156,11 @@ def _q(t):
 
 
 @register("insurance_penetration_recent", f"""
-select ai.state, {sc('ai.insurance_count')} as total_policies, {sm('ai.insurance_amount')} as total_premium,
-  round({ratio('sum(ai.insurance_amount)', 'sum(ai.insurance_count)')}, 0) as avg_premium_per_policy,
-  au.total_users as total_reg_users,
-  round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_pct
-from (select * from {T3} where year in (select distinct year from {T3} order by year desc limit 2)) ai
-  left join {USERS_ROWS} au on ai.state = au.state
-group by ai.state, au.total_users order by penetration_pct asc""")
+from (select state, {sc('insurance_count')} as total_policies, {sm('insurance_amount')} as total_premium from {T3} where year >= (select min(y) from (select distinct year as y from {T3} order by y desc limit 2)) group by state) p
+left join (select state, {sc('registered_users')} as total_reg_users from {T2} group by state) u using (state)
+select state, total_policies, total_premium, round({ratio('total_premium', 'total_policies')}, 0) as avg_premium_per_policy, total_reg_users,
+  round({share('total_policies', 'total_reg_users')}, 4) as penetration_pct""")
 def _q(t):
     """Page form: the year selection filters insurance only; users stay unfiltered."""
     from qtrlens.operators.filters import select_newest_years
-    return ins.insurance_penetration(select_newest_years(t.aggregated_insurance, 2), t.aggregated_user)
+    return ins.insurance_penetration(select_newest_years(t.aggregated_insurance, 2, t.insurance_years), t.aggregated_user)

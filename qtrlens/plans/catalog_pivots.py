@@ -1,62 +1,53 @@
-"""Registered matrix (pivot) queries and their oracle SQL (DuckDB PIVOT)."""
+"""Registered matrix (pivot) queries and their oracle SQL (conditional aggregates)."""
 
 from __future__ import annotations
 
 from qtrlens.operators import pivots
 from qtrlens.plans.registry import register
-from qtrlens.plans.sqlx import crore, growth, growth_floor1, period, sc, sm
+from qtrlens.plans.sqlx import crore, growth, growth_floor1, sc, sm
 
+# The brands of the driver's tables (part.p_type).
+BRANDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
-def _dense(src: str, index: str, col: str, val: str) -> str:
-    """Complete index x column grid with 0 where a cell has no row (one row per cell)."""
-    return (f"(select k.{index}, c.{col}, coalesce(s.{val}, 0) as {val} from (select distinct {index} from {src}) k "
-            f"cross join (select distinct {col} from {src}) c "
-            f"left join {src} s on s.{index} = k.{index} and s.{col} = c.{col})")
+
+def _quarters(cell: str) -> str:
+    return ", ".join(f"{cell.format(k)} as q{k}" for k in (1, 2, 3, 4))
 
 
 @register("category_period_matrix", f"""
-with q as (select transaction_type, {period()} as period, {crore(sm('transaction_amount'))} as amount_cr
-           from aggregated_transaction group by year, quarter, transaction_type),
-g as {_dense('q', 'transaction_type', 'period', 'amount_cr')}
-select * from (pivot g on period using sum(amount_cr) group by transaction_type)""")
+select transaction_type, year, {_quarters("coalesce(max(v) filter (quarter = {}), 0)")}
+from (select transaction_type, year, quarter, {crore(sm('transaction_amount'))} as v from aggregated_transaction group by all)
+group by transaction_type, year""")
 def _q(t):
     return pivots.category_period_matrix(t.aggregated_transaction)
 
 
 @register("category_qoq_matrix", f"""
-with q as (select transaction_type, {period()} as period, {sm('transaction_amount')} as amount
-           from aggregated_transaction group by year, quarter, transaction_type),
-g as (select transaction_type, period,
-        round({growth('amount', 'lag(amount) over (partition by transaction_type order by period)')}, 1) as qoq_pct from q)
-select * from (pivot g on period using first(qoq_pct) group by transaction_type)""")
+with q as (select transaction_type, year, quarter, {sm('transaction_amount')} as amount from aggregated_transaction group by all),
+g as (select *, round({growth('amount', 'lag(amount) over (partition by transaction_type order by year, quarter)')}, 1) as v from q)
+select transaction_type, year, {_quarters("max(v) filter (quarter = {})")} from g group by transaction_type, year""")
 def _q(t):
     return pivots.category_qoq_matrix(t.aggregated_transaction)
 
 
 @register("state_brand_matrix", f"""
-with b as (select state, brand, {sc('user_count')} as user_count from aggregated_user where brand is not null
-           group by state, brand),
-g as {_dense('b', 'state', 'brand', 'user_count')}
-select * from (pivot g on brand using max(user_count) group by state)""")
+select state, {", ".join(f"cast(coalesce(sum(user_count) filter (brand = '{b}'), 0) as bigint) as \"{b}\"" for b in BRANDS)}
+from aggregated_user where brand is not null group by state""")
 def _q(t):
-    return pivots.state_brand_matrix(t.aggregated_user)
+    return pivots.state_brand_matrix(t.aggregated_user, BRANDS)
 
 
 @register("state_period_matrix", f"""
-with q as (select state, {period()} as period, {crore(sm('transaction_amount'))} as amount_cr
-           from map_transaction group by state, year, quarter),
-g as {_dense('q', 'state', 'period', 'amount_cr')}
-select * from (pivot g on period using sum(amount_cr) group by state)""")
+select state, year, {_quarters("coalesce(max(v) filter (quarter = {}), 0)")}
+from (select state, year, quarter, {crore(sm('transaction_amount'))} as v from map_transaction group by all)
+group by state, year""")
 def _q(t):
     return pivots.state_period_matrix(t.map_transaction)
 
 
 @register("reg_growth_matrix", f"""
-with q as (select state, year, quarter, {sc('registered_users')} as registered_users from top_user group by state, year, quarter),
-l as (select state, {period()} as period,
-        round({growth_floor1('registered_users', 'lag(registered_users) over (partition by state order by year, quarter)')}, 1)
-          as growth_pct from q),
-g as {_dense('l', 'state', 'period', 'growth_pct')}
-select * from (pivot g on period using avg(growth_pct) group by state)""")
+with q as (select state, year, quarter, {sc('registered_users')} as n from top_user group by state, year, quarter),
+g as (select state, year, quarter, round({growth_floor1('n', 'lag(n) over (partition by state order by year, quarter)')}, 1) as v from q)
+select state, year, {_quarters("coalesce(avg(v) filter (quarter = {}), 0)")} from g group by state, year""")
 def _q(t):
     return pivots.reg_growth_matrix(t.top_user)

@@ -54,7 +54,10 @@ TIERS = {
 
 # ---- JSON payloads (one file per state / year / quarter) -------------------------
 
-_COUNT_AMOUNT = T.StructType([_f("count", T.LongType()), _f("amount", MONEY)])
+# Counts may be written as 1 or 1.0: they are read as decimals and cast.
+COUNT = T.DecimalType(20, 2)
+
+_COUNT_AMOUNT = T.StructType([_f("count", COUNT), _f("amount", MONEY)])
 
 PAYLOAD_TRANSACTION = T.StructType([_f("data", T.StructType([
     _f("transactionData", T.ArrayType(T.StructType([
@@ -62,9 +65,9 @@ PAYLOAD_TRANSACTION = T.StructType([_f("data", T.StructType([
         _f("paymentInstruments", T.ArrayType(_COUNT_AMOUNT))])))]))])
 
 PAYLOAD_USER = T.StructType([_f("data", T.StructType([
-    _f("aggregated", T.StructType([_f("registeredUsers", T.LongType()), _f("appOpens", T.LongType())])),
+    _f("aggregated", T.StructType([_f("registeredUsers", COUNT), _f("appOpens", COUNT)])),
     _f("usersByDevice", T.ArrayType(T.StructType([
-        _f("brand", T.StringType()), _f("count", T.LongType())])))]))])
+        _f("brand", T.StringType()), _f("count", COUNT)])))]))])
 
 PAYLOAD_HOVER_LIST = T.StructType([_f("data", T.StructType([
     _f("hoverDataList", T.ArrayType(T.StructType([
@@ -72,12 +75,12 @@ PAYLOAD_HOVER_LIST = T.StructType([_f("data", T.StructType([
 
 PAYLOAD_HOVER_MAP = T.StructType([_f("data", T.StructType([
     _f("hoverData", T.MapType(T.StringType(), T.StructType([
-        _f("registeredUsers", T.LongType()), _f("appOpens", T.LongType())])))]))])
+        _f("registeredUsers", COUNT), _f("appOpens", COUNT)])))]))])
 
 _ENTITY_METRIC = T.StructType([_f("entityName", T.StringType()), _f("metric", _COUNT_AMOUNT)])
 PAYLOAD_TOP_METRIC = T.StructType([_f("data", T.StructType([
     _f("districts", T.ArrayType(_ENTITY_METRIC)), _f("pincodes", T.ArrayType(_ENTITY_METRIC))]))])
 
-_NAME_USERS = T.StructType([_f("name", T.StringType()), _f("registeredUsers", T.LongType())])
+_NAME_USERS = T.StructType([_f("name", T.StringType()), _f("registeredUsers", COUNT)])
 PAYLOAD_TOP_USER = T.StructType([_f("data", T.StructType([
     _f("districts", T.ArrayType(_NAME_USERS)), _f("pincodes", T.ArrayType(_NAME_USERS))]))])

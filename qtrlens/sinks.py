@@ -36,6 +36,36 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     return rows
 
 
+FILE_KEY = ["state", "year", "quarter"]
+
+
+def merge_files(payloads: DataFrame, table: str, path: str) -> tuple[int, int, int]:
+    """Put the rows of parsed files into the table at ``path``: a file's rows replace those that
+    the table has for its state, year and quarter, so loading a file again changes nothing.
+    Files that did not parse go to ``_quarantine`` beside the table and leave its rows alone.
+    Returns (files read, rows loaded, files quarantined)."""
+    from qtrlens.session import ensure_checkpoint_dir
+    from qtrlens.sources.ingest import CORRUPT, _exists, quarantined, rows_of
+    spark = payloads.sparkSession
+    ensure_checkpoint_dir(spark)
+    counts = payloads.groupBy(F.col("data").isNull().alias("empty"), F.col(CORRUPT).isNull().alias("ok")).count().collect()
+    good, bad = (sum(r["count"] for r in counts if r["ok"] == ok) for ok in (True, False))
+    new = rows_of(payloads, table)
+    if good and _exists(spark, path):
+        keys = payloads.where(F.col(CORRUPT).isNull() & (F.hash("data").bitwiseAND(F.lit(0)) == 0)).select(*FILE_KEY).distinct()
+        old = read_table(spark, path, table)
+        touched = old.join(keys.select("year").distinct(), "year", "left_semi").join(keys, FILE_KEY, "left_anti")
+        merged = touched.select(*new.columns).unionByName(new).checkpoint()
+        write_table(merged, path)
+        rows = new.count()
+    else:
+        rows = write_table(new, path) if good else 0
+    if bad:
+        parent, name = path.rstrip("/").rsplit("/", 1)
+        quarantined(payloads).write.mode("append").parquet(f"{parent}/_quarantine/{name}")
+    return good + bad, rows, bad
+
+
 def run_jobs(jobs: dict[str, "callable"], parallel: int = 1) -> dict[str, tuple[int | None, str | None]]:
     """Run independent Spark write jobs, ``parallel`` at a time (driver threads submit
     jobs; no data passes through the driver). A failing job does not stop the others."""
@@ -57,17 +87,24 @@ def load_all(spark: SparkSession, root: str, out_dir: str, tables: list[str] | N
     """Ingest every table of the JSON tree into ``out_dir/<table>``, tier by tier
     (``parallel`` > 1 runs that many table loads concurrently).
 
-    A failing table does not stop the others; the report has one row per table:
-    ``(tier, table, rows, error)``.
+    A failing table does not stop the others; the report has one row per table: ``(tier, table,
+    rows, error, files, quarantined)``; files = those loaded + those quarantined.
     """
-    from qtrlens.sources.ingest import load_table
+    from qtrlens.sources.ingest import empty_table, read_payloads
+
+    def load(name: str) -> tuple[int, int, int]:
+        found = read_payloads(spark, root, name)
+        if found is None:
+            write_table(empty_table(spark, name), f"{base}/{name}")
+            return 0, 0, 0
+        return merge_files(found, name, f"{base}/{name}")
     base = out_dir.rstrip("/")
     tier_of = {n: t for t, names in TIERS.items() for n in names}
-    jobs = {n: (lambda n=n: write_table(load_table(spark, root, n), f"{base}/{n}"))
+    jobs = {n: (lambda n=n: load(n))
             for n in tier_of if not tables or n in tables}
     done = run_jobs(jobs, parallel)
-    report = [(tier_of[n], n, *done[n]) for n in jobs]
-    return spark.createDataFrame(report, "tier string, table string, rows bigint, error string")
+    report = [(tier_of[n], n, got and got[1], error, got and got[0], got and got[2]) for n, (got, error) in done.items()]
+    return spark.createDataFrame(report, "tier string, table string, rows bigint, error string, files bigint, quarantined bigint")
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:

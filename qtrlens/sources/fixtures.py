@@ -2,7 +2,7 @@
 
 Mapping: state = nation name, district = customer market segment, pincode = customer
 key, year/quarter from the order date, transaction type = order priority, brand =
-part type (``SMALL`` -> NULL), insurance = returned line items, and NATION_24 is left
+part type, insurance = returned line items.
 out of ``aggregated_user`` so LEFT JOINs meet missing users.
 
 Everything is lazy: a query that needs one table only scans and joins what that table
@@ -27,7 +27,6 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 MONEY = "decimal(20,2)"
-EXCLUDED_USER_STATE = "NATION_24"
 
 _SCHEMA_CACHE: dict[str, "object"] = {}
 
@@ -85,11 +84,23 @@ class DerivedTables:
     def fx_line(self) -> DataFrame:
         """One row per line item, carrying its order's attributes and the device brand."""
         return self.spark.sql(f"""
-            select f.*, case when p.p_type = 'SMALL' then null else p.p_type end as brand,
+            select f.*, p.p_type as brand,
                    l.l_returnflag, cast(l.l_extendedprice as {MONEY}) as ext
             from {{f}} f join {{l}} l on l.l_orderkey = f.o_orderkey join {{p}} p on l.l_partkey = p.p_partkey""",
                               f=self.fx_order, l=self.raw("lineitem"), p=self.raw("part"))
 
+    @cached_property
+    def transaction_years(self) -> DataFrame:
+        """The years of the transaction tables, from the order dates alone."""
+        return self.raw("orders").select(F.year("o_orderdate").cast("smallint").alias("year"))
+
+    @cached_property
+    def insurance_years(self) -> DataFrame:
+        """The years of the insurance tables: no amounts, customers or brands are read."""
+        returned = self.raw("lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+        dated = self.raw("orders").select("o_orderkey", F.year("o_orderdate").cast("smallint").alias("year"))
+        return dated.join(returned, "o_orderkey", "left_semi").select("year")
+
     # ---- the nine tables ----------------------------------------------------------
 
     @cached_property
@@ -103,9 +114,8 @@ class DerivedTables:
         # (state, quarter) count distinct customers and lines in a single Expand +
         # aggregate. The state-quarter totals are then attached to their brand rows by a
         # window over the state-quarter (at most one row per brand plus the total), so
-        # there is no self-join and no second pass over the line items. The excluded
-        # state is dropped first (the source's inner join drops it from both sides).
-        g = (self.fx_line.where(F.col("state") != EXCLUDED_USER_STATE)
+        # there is no self-join and no second pass over the line items.
+        g = (self.fx_line
              .groupingSets([["state", "year", "quarter", "brand"], ["state", "year", "quarter"]],
                            "state", "year", "quarter", "brand")
              .agg(F.count_distinct("o_custkey").alias("users"), F.count(F.lit(1)).alias("lines"),
@@ -127,7 +137,7 @@ class DerivedTables:
         brand grouping set and no window. Operators that only read de-duplicated users
         accept it in place of the full table (de-duplicating it again is a no-op).
         """
-        return (self.fx_line.where(F.col("state") != EXCLUDED_USER_STATE)
+        return (self.fx_line
                 .groupBy("state", "year", "quarter")
                 .agg(F.count_distinct("o_custkey").alias("registered_users"), F.count(F.lit(1)).alias("app_opens")))
 
@@ -252,6 +262,19 @@ class StoredTables:
     def top_level(self, table: str, level: str) -> DataFrame:
         return self.table(table).where(F.col(level).isNotNull())
 
+    @property
+    def user_totals(self) -> DataFrame:
+        from qtrlens.functions.aggs import dedup_users
+        return dedup_users(self.aggregated_user)
+
+    @property
+    def transaction_years(self) -> DataFrame:
+        return self.table("aggregated_transaction").select("year")
+
+    @property
+    def insurance_years(self) -> DataFrame:
+        return self.table("aggregated_insurance").select("year")
+
     def __getattr__(self, name: str) -> DataFrame:
         from qtrlens.schemas import TABLE_SCHEMAS
         if name in TABLE_SCHEMAS:
@@ -267,11 +290,11 @@ FIXTURE_SQL: dict[str, str] = {
   cast(year(o.o_orderdate) as smallint) as year, cast(quarter(o.o_orderdate) as int) as quarter, o.o_orderpriority as transaction_type,
   cast(o.o_totalprice as decimal(20,2)) as amount, o.o_custkey
   from orders o join customer c on o.o_custkey=c.c_custkey join nation n on c.c_nationkey=n.n_nationkey""",
-    "fx_line": """select f.*, case when p.p_type='SMALL' then null else p.p_type end as brand, l.l_returnflag, cast(l.l_extendedprice as decimal(20,2)) as ext
+    "fx_line": """select f.*, p.p_type as brand, l.l_returnflag, cast(l.l_extendedprice as decimal(20,2)) as ext
   from fx_order f join lineitem l on l.l_orderkey=f.o_orderkey join part p on l.l_partkey=p.p_partkey""",
     "aggregated_transaction": """select state,year,quarter,transaction_type,count(*) as transaction_count,cast(sum(amount) as decimal(20,2)) as transaction_amount from fx_order group by state,year,quarter,transaction_type""",
     "aggregated_user": """select b.state,b.year,b.quarter,b.brand,b.user_count,t.registered_users,t.app_opens from
-  (select state,year,quarter,brand,count(distinct o_custkey) as user_count from fx_line where state<>'NATION_24' group by state,year,quarter,brand) b
+  (select state,year,quarter,brand,count(distinct o_custkey) as user_count from fx_line group by state,year,quarter,brand) b
   join (select state,year,quarter,count(distinct o_custkey) as registered_users,count(*) as app_opens from fx_line group by state,year,quarter) t
   on b.state=t.state and b.year=t.year and b.quarter=t.quarter""",
     "aggregated_insurance": """select state,year,quarter,count(*) as insurance_count,cast(sum(ext) as decimal(20,2)) as insurance_amount from fx_line where l_returnflag='R' group by state,year,quarter""",

@@ -15,7 +15,6 @@ instruments gives 0 instead of failing, and files that do not parse go to
 from __future__ import annotations
 
 import logging
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +62,7 @@ SOURCES: dict[str, Source] = {
 def with_path_keys(df: DataFrame, path: Column | str = "file_path") -> DataFrame:
     """Add state (title-cased slug), year and quarter parsed from the file path."""
     p = F.col(path) if isinstance(path, str) else path
+    p = F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))  # Spark reports file paths percent-encoded
     return (df.withColumn("state", slug_to_title(F.regexp_extract(p, PATH_RE, 1)))
             .withColumn("year", F.regexp_extract(p, PATH_RE, 2).cast("smallint"))
             .withColumn("quarter", F.regexp_extract(p, PATH_RE, 3).cast("int")))
@@ -92,8 +92,6 @@ def read_payloads(spark: SparkSession, root: str, table: str) -> DataFrame | Non
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.isdir(path)
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -111,7 +109,7 @@ def _keys() -> list[Column]:
 
 
 def _count(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0).cast("bigint"))
+    return F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def _amount(c: Column) -> Column:
@@ -223,15 +221,25 @@ def load_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     p = read_payloads(spark, root, table)
     if p is None:
         return empty_table(spark, table)
-    good = p.where(F.col(CORRUPT).isNull())
-    return conform(FLATTEN[table](good), table)
+    return rows_of(p, table)
+
+
+def rows_of(payloads: DataFrame, table: str) -> DataFrame:
+    """Table rows of the payloads that parsed."""
+    return conform(FLATTEN[table](payloads.where(F.col(CORRUPT).isNull())), table)
 
 
 def quarantine(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Files that did not parse: path and raw text, for inspection."""
+    """Every file that ``load_table`` leaves out: path, raw text, and whether a part of it
+    could be read. Together the two cover all files."""
     p = read_payloads(spark, root, table)
     if p is None:
-        return spark.createDataFrame([], "file_path string, raw string")
-    # The filter also references ``data`` so Spark does not see a corrupt-column-only
-    # query over the raw scan (which it refuses).
-    return p.where(F.col(CORRUPT).isNotNull() & F.col("data").isNull()).select("file_path", F.col(CORRUPT).alias("raw"))
+        return spark.createDataFrame([], "file_path string, raw string, partly_read boolean")
+    return quarantined(p)
+
+
+def quarantined(payloads: DataFrame) -> DataFrame:
+    # The filter reads ``data`` too (always true): Spark refuses scans of the corrupt column alone.
+    reads_data = F.hash("data").bitwiseAND(F.lit(0)) == 0
+    return payloads.where(F.col(CORRUPT).isNotNull() & reads_data).select(
+        "file_path", F.col(CORRUPT).alias("raw"), F.col("data").isNotNull().alias("partly_read"))

@@ -2,21 +2,20 @@
 
 The source's refresh re-pulls every file and appends everything again. Here a file
 stream over the JSON tree, run with ``trigger(availableNow=True)``, processes only the
-files not seen by earlier runs (the checkpoint remembers them) and appends their rows
-to the Parquet table through the exactly-once file sink. Executors can be lost: the
-checkpoint and the sink's commit log live in the shared checkpoint folder, and a
-restarted run resumes from the last committed batch.
+files not seen by earlier runs (the checkpoint remembers them). Each batch is merged into
+the table by file key (``sinks.merge_files``), the same way as a full load, so both can
+share a folder and a batch that is run again after a lost driver changes nothing. Files
+that do not parse are kept in the table's quarantine.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from qtrlens.sources.ingest import CORRUPT, FLATTEN, SOURCES, _reader_schema, conform, with_path_keys
+from qtrlens.sinks import merge_files
+from qtrlens.sources.ingest import CORRUPT, SOURCES, _exists, _reader_schema, with_path_keys
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -28,8 +27,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def stream_table(spark: SparkSession, root: str, table: str, out_dir: str,
-                 checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start an availableNow stream that appends new files' rows of ``table``."""
+                 checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                 done: list | None = None) -> StreamingQuery:
+    """Start an availableNow stream that merges new files' rows into ``table``; ``done`` gets
+    (files read, rows loaded, files quarantined) of every batch."""
     src = SOURCES[table]
     reader = (spark.readStream.schema(_reader_schema(src.payload)).format("json")
               .option("multiLine", True).option("mode", "PERMISSIVE")
@@ -39,23 +40,27 @@ def stream_table(spark: SparkSession, root: str, table: str, out_dir: str,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(src.base(root))
     parsed = with_path_keys(raw.withColumn("file_path", F.col("_metadata.file_path")))
-    rows = conform(FLATTEN[table](parsed.where(F.col(CORRUPT).isNull())), table)
     ckpt = checkpoint or f"{checkpoint_root(spark)}/ingest/{table}"
-    return (rows.writeStream.format("parquet").outputMode("append")
-            .option("path", f"{out_dir.rstrip('/')}/{table}").option("checkpointLocation", ckpt)
-            .partitionBy("year").trigger(availableNow=True).start())
+
+    def merge(batch, _):
+        got = merge_files(batch, table, f"{out_dir.rstrip('/')}/{table}")
+        if done is not None:
+            done.append(got)
+
+    return (parsed.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
+            .trigger(availableNow=True).start())
 
 
 def refresh(spark: SparkSession, root: str, out_dir: str, tables: list[str] | None = None,
             checkpoint_base: str | None = None) -> dict[str, int]:
-    """Run the incremental ingest for each table to completion; input records read per table."""
+    """Run the incremental ingest for each table to completion; rows loaded per table."""
     added: dict[str, int] = {}
     for table in tables or list(SOURCES):
-        if "://" not in root and not os.path.isdir(SOURCES[table].base(root)):
+        if not _exists(spark, SOURCES[table].base(root)):
             added[table] = 0
             continue
         ckpt = f"{checkpoint_base.rstrip('/')}/{table}" if checkpoint_base else None
-        q = stream_table(spark, root, table, out_dir, ckpt)
-        q.awaitTermination()
-        added[table] = sum(int(p.get("numInputRows", 0)) for p in q.recentProgress)
+        done: list[tuple[int, int, int]] = []
+        stream_table(spark, root, table, out_dir, ckpt, done=done).awaitTermination()
+        added[table] = sum(rows for _, rows, _ in done)
     return added

@@ -123,7 +123,7 @@ def test_incremental_refresh_reads_only_new_files(spark, tree, tmpdir_fresh):
     out = os.path.join(tmpdir_fresh, "stream")
     ck = os.path.join(tmpdir_fresh, "ckpt")
     first = refresh(spark, tree, out, ["aggregated_user"], checkpoint_base=ck)
-    assert first["aggregated_user"] == 2  # two files
+    assert first["aggregated_user"] == 2  # two brand rows
     again = refresh(spark, tree, out, ["aggregated_user"], checkpoint_base=ck)
     assert again["aggregated_user"] == 0  # nothing new
     _put(tree, "aggregated/user", "karnataka", 2021, 3, {"data": {
@@ -139,3 +139,38 @@ def test_parallel_load_all_matches_sequential(spark, tree, tmpdir_fresh):
     par = {r["table"]: (r["rows"], r["error"])
            for r in sinks.load_all(spark, tree, f"{tmpdir_fresh}/b", parallel=3).collect()}
     assert seq == par and len(par) == 9
+
+
+def _six_files(root):
+    amount = lambda c, a: {"data": {"transactionData": [{"name": "x", "paymentInstruments": [{"count": c, "amount": a}]}]}}
+    for q, (c, a) in enumerate([(1, 2.0), (1.0, 2.5), ("x", 1.0), (1, 1e30)], 1):
+        _put(root, "aggregated/transaction", "west bengal", 2020, q, amount(c, a))
+    _put(root, "aggregated/transaction", "goa", 2020, 1, {"data": None})
+    bad = os.path.join(root, "data/aggregated/transaction/country/india/state/goa/2020")
+    with open(os.path.join(bad, "2.json"), "w") as f:
+        f.write("{oops")
+
+
+def test_no_file_vanishes_and_escaped_names_are_decoded(spark, tmpdir_fresh):
+    root, out = os.path.join(tmpdir_fresh, "tree"), os.path.join(tmpdir_fresh, "out")
+    _six_files(root)
+    rep = {r["table"]: r for r in sinks.load_all(spark, root, out).collect()}["aggregated_transaction"]
+    table = sinks.read_table(spark, f"{out}/aggregated_transaction", "aggregated_transaction")
+    assert rows(table, "state", "quarter", "transaction_count") == [("West Bengal", 1, 1), ("West Bengal", 2, 1)]
+    kept = ingest.quarantine(spark, root, "aggregated_transaction").count()
+    assert rep["files"] == 6 and rep["quarantined"] == kept == 3 and rep["rows"] == 2 and rep["error"] is None
+    assert spark.read.parquet(f"{out}/_quarantine/aggregated_transaction").count() == 3
+
+
+def test_load_and_refresh_share_a_folder(spark, tree, tmpdir_fresh):
+    from qtrlens.streaming.incremental import refresh
+    out, ck = os.path.join(tmpdir_fresh, "both"), os.path.join(tmpdir_fresh, "both-ckpt")
+    cols = ["state", "quarter", "brand", "user_count"]
+    seen = []
+    for step in range(4):
+        if step % 2:
+            refresh(spark, tree, out, ["aggregated_user"], checkpoint_base=ck)
+        else:
+            sinks.load_all(spark, tree, out, ["aggregated_user"])
+        seen.append(rows(sinks.read_table(spark, f"{out}/aggregated_user", "aggregated_user"), *cols))
+    assert all(s == rows(ingest.load_table(spark, tree, "aggregated_user"), *cols) for s in seen)

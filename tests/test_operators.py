@@ -57,8 +57,24 @@ def test_arg_max_tie_takes_smallest_key(spark):
 
 def test_pivot_mean(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 3.0), ("b", "y", 4.0)], "k string, c string, v double")
-    p = pivots.pivot_matrix(df, ["k"], "c", "v", agg="mean").collect()
-    assert p[0]["x"] == 2.0 and p[0]["y"] == 0.0 and p[1]["x"] == 0.0
+    p = pivots.pivot_matrix(df, ["k"], "c", "v", {"x": "x", "y": "why"}, agg="mean").collect()
+    assert p[0]["x"] == 2.0 and p[0]["why"] == 0.0 and p[1]["x"] == 0.0
+
+
+def test_pivot_raises_on_a_value_outside_the_list(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "z", 3.0)], "k string, c string, v double")
+    with pytest.raises(Exception, match="outside the list: z"):
+        pivots.pivot_matrix(df, ["k"], "c", "v", {"x": "x"}).collect()
+
+
+def test_unmatched_users_and_null_brand_keep_their_rows(spark):
+    t3 = spark.createDataFrame([("A", 2020, 1, 5, Decimal("9.00")), ("B", 2020, 1, 7, Decimal("3.00"))],
+                               "state string, year smallint, quarter int, insurance_count bigint, insurance_amount decimal(20,2)")
+    t2 = spark.createDataFrame([("A", 2020, 1, None, 4, 10, 20), ("A", 2020, 1, "x", 6, 10, 20)],
+                               "state string, year smallint, quarter int, brand string, user_count bigint, registered_users bigint, app_opens bigint")
+    got = {r["state"]: r["total_reg_users"] for r in insurance.insurance_penetration(t3, t2).collect()}
+    assert got == {"A": 20, "B": None}
+    assert [r["brand"] for r in users.brand_share(t2).collect()] == ["x"]
 
 
 def test_lag_positional_vs_calendar(spark):

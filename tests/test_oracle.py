@@ -9,8 +9,10 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+from qtrlens.plans import registry
+
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 def _norm(v):
