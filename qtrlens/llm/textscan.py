@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Texts are taken in chunks of so many bytes (a longer text makes a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True

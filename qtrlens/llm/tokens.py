@@ -13,7 +13,9 @@ import numpy as np
 from .textscan import chunks
 
 #: Pieces kept from batch to batch in a worker; when full it starts anew.
-CACHE = 500_000
+CACHE = 150_000
+#: Bytes of text that are encoded at once.
+CHUNK = 3 << 20
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -73,7 +75,7 @@ class Encoder:
         where each text's ids start. Null counts as empty."""
         import pyarrow as pa
 
-        for lo, hi, data, off in chunks(column, 8 << 20):
+        for lo, hi, data, off in chunks(column, CHUNK):
             n = hi - lo
             space = data == 0x20
             blank = space | ((data >= 0x09) & (data <= 0x0D))
@@ -82,7 +84,7 @@ class Encoder:
                 odd[1:] |= blank[1:] & blank[:-1] & (space[1:] | space[:-1])
                 odd[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
                 odd[1:] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
-            marks = np.concatenate([[0], np.cumsum(odd)])
+            marks = np.concatenate([[0], np.cumsum(odd, dtype=np.int32)])
             slow = np.flatnonzero(marks[off[1:]] > marks[off[:-1]])
             cut = np.zeros(len(data) + 1, bool)
             cut[:-1] = space
