@@ -21,8 +21,9 @@ SEED = 20
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MAX_PASSES = 3
-#: Rows in a shard, about; blocks in the mix, at least, and for each cell.
-SHARD_ROWS, BLOCKS, BLOCKS_PER_CELL = 50_000, 1 << 17, 256
+#: Rows in a cell, about (a source has as many shards as its rows need); blocks in the mix, at
+#: least, and for each cell.
+SHARD_ROWS, BLOCKS, BLOCKS_PER_CELL = 2_000, 1 << 17, 256
 #: Sources are a dimension of the mix; more than this is taken for a wrong column.
 MAX_SOURCES = 100_000
 
@@ -67,22 +68,18 @@ def sainte_lague(weights: np.ndarray, seats: int) -> np.ndarray:
 
 
 def _planned(sized: DataFrame, seed: int, weights: tuple[int, ...]):
-    """From (source, key, size): sources (source, rank, source_size, target) and quotas (rank, shard,
-    cell_size, take, start), and the number of shards."""
-    n = sized.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    shard = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(shards)).cast("int")
-    got = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
+    """From (source, key, size): sources (source, rank, source_size, target, shards) and quotas (rank,
+    shard, cell_size, take, start)."""
+    got = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(got) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    got = sorted(((r.source, int(r.n)) for r in got), key=lambda x: (x[0] is None, x[0] or ""))
+    got = sorted(((r.source, int(r.words), -(-r.n // SHARD_ROWS)) for r in got), key=lambda x: (x[0] is None, x[0] or ""))
     aim = targets([x[1] for x in got], [weights[i % len(weights)] for i in range(len(got))])
     total = sum(x[1] for x in got)
-    wanted = max(BLOCKS, BLOCKS_PER_CELL * shards * len(got))
-    block = max(1, total // wanted)
+    block = max(1, total // max(BLOCKS, BLOCKS_PER_CELL * sum(x[2] for x in got)))
     seats = [int(x) for x in sainte_lague([float(x) for x in aim], total // block)]
-    kind = f"source {dict(sized.dtypes)['source']}, rank int, source_size long, target double, seats long"
-    sources = sized.sparkSession.createDataFrame([(s, i, size, float(aim[i]), seats[i]) for i, (s, size) in enumerate(got)], kind)
+    kind = f"source {dict(sized.dtypes)['source']}, rank int, source_size long, target double, seats long, shards int"
+    sources = sized.sparkSession.createDataFrame([(s, i, size, float(aim[i]), seats[i], shards) for i, (s, size, shards) in enumerate(got)], kind)
 
     def deal(cells):
         cells = cells.sort_values("shard")
@@ -93,16 +90,22 @@ def _planned(sized: DataFrame, seed: int, weights: tuple[int, ...]):
         cells["start"] = np.array([int(np.random.default_rng((seed, r, s)).integers(b)) * block for r, s, b in zip(cells["rank"], cells["shard"], blocks)], np.int64)
         return cells[["rank", "shard", "cell_size", "take", "start"]]
 
-    ranked = sized.select("source", "size", shard.alias("shard")).groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
-    ranked = ranked.join(F.broadcast(sources.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s")))
-    quotas = ranked.select("rank", "shard", "cell_size", "seats").groupBy("rank").applyInPandas(deal, "rank int, shard int, cell_size long, take long, start long")
-    return sources.drop("seats"), quotas, shard
+    ranked = _sharded(sized, sources, seed).groupBy("rank", "__shard").agg(F.sum("size").alias("cell_size"), F.first("seats").alias("seats"))
+    quotas = ranked.withColumnRenamed("__shard", "shard").groupBy("rank").applyInPandas(deal, "rank int, shard int, cell_size long, take long, start long")
+    return sources, quotas
 
 
-def _taken(rows: DataFrame, sources: DataFrame, quotas: DataFrame, shard) -> DataFrame:
+def _sharded(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with what ``sources`` says of their source, and their shard (__shard)."""
+    named = F.broadcast(sources.withColumnRenamed("source", "__s"))
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    return rows.withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed), "key"), "shards").cast("int"))
+
+
+def _taken(rows: DataFrame, sources: DataFrame, quotas: DataFrame, seed: int) -> DataFrame:
     """``rows`` (with source, key, size) plus source_size, target and where the mix goes over them:
     ``passes`` times whole, and words ``a1``..``b1`` and ``a2``..``b2`` once more."""
-    rows = rows.withColumn("__shard", shard).join(F.broadcast(sources.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    rows = _sharded(rows, sources, seed)
     rows = rows.join(quotas.withColumnRenamed("rank", "__r"), (F.col("rank") == F.col("__r")) & (F.col("__shard") == F.col("shard")))
     line = Window.partitionBy("__r", "shard").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     at = F.sum("size").over(line) - F.col("size")
@@ -123,8 +126,8 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -
     empty table gives an empty result. Other columns are not read. Reruns agree."""
     sized = written(docs.select("doc_id", "source", F.expr(N_WORDS.format("text")).cast("long").alias("size"),
                                 F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("key")), "mix")
-    sources, quotas, shard = _planned(sized, seed, weights)
-    return _taken(sized, sources, quotas, shard).select("doc_id", "size", "source_size", "target", "taken")
+    sources, quotas = _planned(sized, seed, weights)
+    return _taken(sized, sources, quotas, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -133,9 +136,9 @@ def mixed(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS)
     key = F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
     size = F.expr(N_WORDS.format("text")).cast("long")
     sized = written(docs.select("source", size.alias("size"), key.alias("key")), "mix")
-    sources, quotas, shard = _planned(sized, seed, weights)
+    sources, quotas = _planned(sized, seed, weights)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", size.alias("size"), key.alias("key"))
-    cuts = _taken(rows, sources, quotas, shard).select(
+    cuts = _taken(rows, sources, quotas, seed).select(
         "row", F.explode(F.expr("filter(concat(transform(array_repeat(0, passes), x -> struct(0L as a, size as b)), "
                                 "array(struct(a1 as a, b1 as b), struct(a2 as a, b2 as b))), x -> x.b > x.a)")).alias("cut"), "size")
     whole = cuts.select("row.*", F.col("cut.a").alias("__a"), F.col("cut.b").alias("__b"), F.col("size").alias("__size"))
