@@ -26,6 +26,8 @@ from .store import written
 from .textscan import LOWER, chunks, words
 
 BITS = 64
+#: A fingerprint is hot if more than one in so many rows has it.
+HOT_SHARE = 1000
 
 
 def shingle_hashes(data, off, size: int):
@@ -122,14 +124,19 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 def grouped(docs: DataFrame, text: str, keep: tuple[str, ...], order: str, shingle_words: int, radius: int) -> DataFrame:
     """``keep``, ``fp``, ``root`` (the component's smallest fingerprint) and ``component_id``."""
     prints = written(fingerprints(docs, text, keep, shingle_words), "simhash")
-    nodes = written(prints.groupBy("fp").agg(F.min(order).alias("first_id")), "simhash-nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min(order).alias("first_id"), F.count("*").alias("n")), "simhash-nodes")
     root = written(roots(links(nodes, radius)), "simhash-roots")
     linked = nodes.join(root.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     far = linked.join(least, "root").select("fp", "root", "least_id")
-    label = nodes.join(far, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(label, "fp").select(*keep, "fp", "root", "component_id")
+    label = written(nodes.join(far, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least_id", "first_id").alias("component_id"), "n"), "simhash-labels")
+    # fingerprints of over a thousandth of the rows are fewer than a thousand: they are broadcast, the rest shuffled
+    total = label.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(label.filter(F.col("n") * HOT_SHARE > total).drop("n"))
+    cold = label.filter(F.col("n") * HOT_SHARE <= total).drop("n")
+    out = [*keep, "fp", "root", "component_id"]
+    return prints.join(hot, "fp").select(*out).unionAll(prints.join(hot, "fp", "left_anti").join(cold, "fp").select(*out))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: str = "doc_id",
