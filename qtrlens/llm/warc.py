@@ -97,8 +97,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     rows with the smallest page_id of equal payloads are responses (a null id is the largest)."""
     rows = keyed(pages)
     sample = rows.filter("size > 0").select("page_id", "digest", F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("part"))
-    sample = sample.orderBy(F.xxhash64("digest", "page_id")).limit(SAMPLE_RECORDS)
-    shared = dictionary([bytes(r.part) for r in sample.select("part").collect()])
+    # written first: a collected limit would send every task's own top rows to the driver
+    sample = written(sample.orderBy(F.xxhash64("digest", "page_id")).limit(SAMPLE_RECORDS).select("part"), "warc-sample")
+    shared = dictionary([bytes(r.part) for r in sample.collect()])
     firsts = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
     rows = rows.join(firsts.filter("n > 1").drop("n"), "digest", "left")
     refers = F.when((F.col("size") >= MIN_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
