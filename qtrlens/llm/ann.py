@@ -116,7 +116,9 @@ def neighbours(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", b
     dim, n = sizes[0][0], sizes[0][1]
     blocks = max(1, -(-n // block_rows))
     stored = written(fine.filter(F.size("v") == dim).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "vectors")
-    sample = np.array([r.v for r in stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()])
+    # written first: a collected limit would send every task's own top rows to the driver
+    sample = written(stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v"), "ann-sample")
+    sample = np.array([r.v for r in sample.collect()])
     model = fitted(sample, k)
     asked = stored.filter(is_query).select("vec_id", "v").distinct()
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // (20 * QUERY_ROWS))))).cast("int"))
