@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import SAMPLE_ROWS, probability, raw_scores, train
+from .store import written
 from .textscan import WHITE, SpanHash, chunks, mixed, per_text, repeated, words
 
 #: A text goes if its calibrated probability of good quality is below this.
@@ -79,9 +80,9 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict
 
     Labels with a null in doc_id or quality are left out; a doc_id with several labels counts
     as bad if one of them is. Only the sampled ids are broadcast."""
-    ids = (labels.filter("doc_id is not null and quality is not null")
-           .groupBy("doc_id").agg(F.min("quality").alias("label"))
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    ids = written(labels.filter("doc_id is not null and quality is not null")
+                  .groupBy("doc_id").agg(F.min("quality").alias("label"))
+                  .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled-ids")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")
     return train(sample, rows=rows)
 
