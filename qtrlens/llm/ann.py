@@ -122,7 +122,8 @@ def neighbours(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", b
     model = fitted(sample, k)
     asked = stored.filter(is_query).select("vec_id", "v").distinct()
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // (20 * QUERY_ROWS))))).cast("int"))
-    asked = written(asked, "ann-queries")
+    # answers carry the query's number, not its vector (one vec_id may have several vectors)
+    asked = written(asked.withColumn("qid", F.monotonically_increasing_id()), "ann-queries")
     chunks = [r[0] for r in asked.select("chunk").distinct().collect()]
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = stored.withColumn("chunk", F.explode(F.array(*[F.lit(c).cast("int") for c in chunks]) if chunks else F.array().cast("array<int>")))
@@ -137,24 +138,23 @@ def neighbours(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", b
         def run(queries, block):
             import pyarrow as pa
 
-            qid, ids = queries.column("vec_id").to_numpy(), block.column("vec_id").to_numpy()
-            q = as_matrix(queries.column("v"))
-            found = block_best(qid, q, ids, as_matrix(block.column("v")), model, k) if len(ids) and len(qid) else []
+            query_ids, qid, ids = (x.to_numpy() for x in (queries.column("vec_id"), queries.column("qid"), block.column("vec_id")))
+            found = block_best(query_ids, as_matrix(queries.column("v")), ids, as_matrix(block.column("v")), model, k) if len(ids) and len(qid) else []
             cols = list(zip(*found)) or [(), (), ()]
             at = np.array(cols[0], np.int64)
-            return pa.table({"query_id": pa.array(qid[at]), "v": pa.array(list(q[at]), pa.list_(pa.float64())), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+            return pa.table({"query_id": pa.array(query_ids[at]), "qid": pa.array(qid[at]), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
         return run
 
     def best(queries, model):
-        met = queries.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(search(model), "query_id long, v array<double>, vec_id long, score double")
-        order = Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
+        met = queries.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(search(model), "query_id long, qid long, vec_id long, score double")
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
         return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     near = written(best(left, model), "ann-near")
-    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "v")
+    full = near.filter(F.col("rank") == k).select("qid")
     if full.count() == asked.count():
         return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    short = left.join(full, ["vec_id", "v"], "left_anti")  # too few codes in the radius: all rows
+    short = left.join(full, "qid", "left_anti")  # too few codes in the radius: all rows
     rest = best(short, model | {"radius": 8 * dim * ROTATIONS})
-    both = near.join(full.withColumnRenamed("vec_id", "query_id"), ["query_id", "v"], "left_semi").unionByName(rest)
+    both = near.join(full, "qid", "left_semi").unionByName(rest)
     return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
