@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .textscan import chunks, words
+from .textscan import chunks, mixed as hashed, words
 
 SEED = 20
 WEIGHTS = (5, 2, 1)
@@ -47,24 +47,32 @@ def targets(sizes: list[int], weights: list[int], passes: int = MAX_PASSES) -> l
 
 
 def sainte_lague(weights: np.ndarray, seats: int) -> np.ndarray:
-    """Seats by the highest quotients weight / (2k + 1), ties to the first. Starts from the
-    rounded shares, which differ from the answer by few seats, and moves the last ones."""
+    """Seats by the highest quotients weight / (2k + 1), ties to the first.
+
+    A quotient is a seat if it is at least some bar. Halving finds two neighbouring bars, one
+    with too many seats; the few quotients between them are handed out from the highest."""
     weights = np.asarray(weights, float)
     if not len(weights) or weights.sum() <= 0 or seats <= 0:
         return np.zeros(len(weights), np.int64)
-    out = np.floor(weights * (seats / weights.sum()) + 0.5).astype(np.int64)
-    while out.sum() < seats:
-        out[np.argmax(weights / (2 * out + 1))] += 1
-    while out.sum() > seats:
-        last = np.where(out > 0, weights / np.maximum(2 * out - 1, 1), np.inf)
-        out[len(last) - 1 - np.argmin(last[::-1])] -= 1
-    while True:  # one exchange at a time until no next quotient beats a given one
-        more, last = weights / (2 * out + 1), np.where(out > 0, weights / np.maximum(2 * out - 1, 1), np.inf)
-        best, worst = np.argmax(more), len(last) - 1 - np.argmin(last[::-1])
-        if more[best] <= last[worst] or best == worst:
-            return out
-        out[best] += 1
-        out[worst] -= 1
+
+    def seated(bar):  # how many of each weight's quotients are at least the bar
+        n = np.maximum(np.floor((weights / bar + 1) / 2).astype(np.int64), 0)
+        n -= (n > 0) & (weights / np.maximum(2 * n - 1, 1) < bar)
+        return n + (weights / (2 * n + 1) >= bar)
+
+    high, low = np.nextafter(weights.max(), np.inf), weights.sum() / (2 * seats + 2 * len(weights))
+    while True:  # the bar ``high`` gives at most the seats, ``low`` at least as many
+        bar = (high + low) / 2
+        if not low < bar < high:
+            break
+        n = seated(bar).sum()
+        if n == seats:
+            return seated(bar)
+        high, low = (bar, low) if n < seats else (high, bar)
+    out = seated(high)
+    last = np.flatnonzero(seated(low) > out)  # equal quotients, of the first weights first
+    out[last[: seats - out.sum()]] += 1
+    return out
 
 
 def _planned(sized: DataFrame, seed: int, weights: tuple[int, ...]):
@@ -87,7 +95,8 @@ def _planned(sized: DataFrame, seed: int, weights: tuple[int, ...]):
         size = cells["cell_size"].to_numpy().astype(np.int64)
         cells["take"] = np.minimum(q * block, MAX_PASSES * size)
         blocks = np.maximum(size // block, 1)
-        cells["start"] = np.array([int(np.random.default_rng((seed, r, s)).integers(b)) * block for r, s, b in zip(cells["rank"], cells["shard"], blocks)], np.int64)
+        drawn = hashed(hashed(cells["shard"].to_numpy().astype(np.uint64) + np.uint64(seed)) + cells["rank"].to_numpy().astype(np.uint64))
+        cells["start"] = (drawn % blocks.astype(np.uint64)).astype(np.int64) * block
         return cells[["rank", "shard", "cell_size", "take", "start"]]
 
     ranked = _sharded(sized, sources, seed).groupBy("rank", "__shard").agg(F.sum("size").alias("cell_size"), F.first("seats").alias("seats"))
