@@ -23,15 +23,6 @@ def sum_count(c: str, alias: str | None = None) -> Column:
     return e.alias(alias) if alias else e
 
 
-def n_rows(alias: str) -> Column:
-    return F.count(F.lit(1)).cast("bigint").alias(alias)
-
-
-def mean_of_total(c: str) -> Column:
-    """Mean of per-group totals as ``double(sum) / count`` (order-independent)."""
-    return F.sum(c).cast("double") / F.nullif(F.count(c).cast("double"), F.lit(0.0))
-
-
 def dedup_users(t2: DataFrame) -> DataFrame:
     """One row per (state, year, quarter) of ``aggregated_user``.
 

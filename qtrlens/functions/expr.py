@@ -146,16 +146,6 @@ def band_right_closed(x: ColumnOrName, edges: Sequence[float], labels: Sequence[
     return expr
 
 
-def band_greater(x: ColumnOrName, cuts: Sequence[tuple[float, str]], otherwise: str) -> Column:
-    """``CASE WHEN x > c1 THEN l1 ... ELSE otherwise``."""
-    x = dbl(x)
-    expr = None
-    for cut, label in cuts:
-        cond = x > F.lit(float(cut))
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(otherwise))
-
-
 def sign_flag(x: ColumnOrName, non_negative: str = "above", negative: str = "below") -> Column:
     x = col(x)
     return F.when(x >= 0, F.lit(non_negative)).when(x < 0, F.lit(negative))

@@ -6,14 +6,12 @@ tables partitioned by ``year``, pruning partitions) or semi joins on small key s
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qtrlens.functions.expr import ordinal
-from qtrlens.functions.joins import broadcast_if_small
 
 
 def select_years_states(df: DataFrame, years: Iterable[int] | None = None,
@@ -28,28 +26,6 @@ def select_years_states(df: DataFrame, years: Iterable[int] | None = None,
     return out
 
 
-@dataclass(frozen=True)
-class Selection:
-    years: list[int]
-    states: list[str]
-
-
-def default_selection(df: DataFrame, n_years: int = 2, n_states: int = 5) -> Selection:
-    """The dashboard's default: the newest ``n_years`` years and the first ``n_states``
-    states by name. Reads only the distinct keys (a small aggregate), never the rows."""
-    years = [r[0] for r in df.select("year").distinct().orderBy(F.col("year").desc()).limit(n_years).collect()]
-    states = [r[0] for r in df.select("state").where(F.col("state").isNotNull()).distinct()
-              .orderBy("state").limit(n_states).collect()]
-    return Selection(years, states)
-
-
-def resolve_selection(df: DataFrame, years: Sequence[int] | None, states: Sequence[str] | None) -> Selection:
-    """Empty selection -> every value present (the dashboard's fallback)."""
-    ys = list(years) if years else [r[0] for r in df.select("year").distinct().collect()]
-    ss = list(states) if states else [r[0] for r in df.select("state").distinct().collect()]
-    return Selection(sorted(ys, reverse=True), sorted(s for s in ss if s is not None))
-
-
 def newest_years(df: DataFrame, n: int = 2) -> DataFrame:
     """The ``n`` newest years present in ``df``, as a one-column DataFrame (at most n rows)."""
     return df.select("year").distinct().orderBy(F.col("year").desc()).limit(n)
@@ -67,14 +43,6 @@ def select_newest_years(df: DataFrame, n: int = 2, years_from: DataFrame | None
     return df.join(F.broadcast(keys), "year", "left_semi")
 
 
-def one_state(df: DataFrame, state: str) -> DataFrame:
-    return df.where(F.col("state") == state)
-
-
-def one_quarter(df: DataFrame, year: int, quarter: int) -> DataFrame:
-    return df.where((F.col("year") == year) & (F.col("quarter") == quarter))
-
-
 def period_range(df: DataFrame, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
     """Quarters from ``start`` to ``end`` inclusive, e.g. (2023, 3) .. (2024, 4).
 
@@ -83,26 +51,3 @@ def period_range(df: DataFrame, start: tuple[int, int], end: tuple[int, int]) ->
     """
     lo, hi = start[0] * 4 + start[1], end[0] * 4 + end[1]
     return df.where(F.col("year").between(start[0], end[0]) & ordinal().between(lo, hi))
-
-
-def not_null(df: DataFrame, *cols: str) -> DataFrame:
-    cond = None
-    for c in cols:
-        cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
-    return df.where(cond) if cond is not None else df
-
-
-def restrict_to(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    """Keep rows whose key is in ``keys`` (LEFT SEMI JOIN; broadcast if provably small)."""
-    return df.join(broadcast_if_small(keys), on, "left_semi")
-
-
-def top_keys(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
-    """The ``k`` keys with the largest sum of ``value`` (ties -> smallest key)."""
-    return (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(value).alias("_v"))
-            .orderBy(F.col("_v").desc_nulls_last(), F.col(key).asc()).limit(k).select(key))
-
-
-def first_states(states: Sequence[str], k: int) -> list[str]:
-    """The first ``k`` of the selected states, in selection order (a parameter list)."""
-    return list(states)[:k]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from qtrlens.functions.aggs import dedup_users, sum_count, sum_money
 from qtrlens.functions.expr import crore, dbl, lakh, pct_growth, ratio, share_pct, zscore
-from qtrlens.functions.windows import row_number_desc, top_k, whole, with_prev
+from qtrlens.functions.windows import top_k, whole, with_prev
 
 AMT, CNT = "transaction_amount", "transaction_count"
 
@@ -85,14 +85,21 @@ def flagged_states(t1: DataFrame, grain: str = "state") -> DataFrame:
 # ---- findings computed instead of fixed text --------------------------------------------
 
 def topk_share(df: DataFrame, key: str = "state", value: str = AMT, k: int = 3) -> DataFrame:
-    """The ``k`` largest ``key`` groups, their share and the cumulative share."""
+    """The ``k`` largest ``key`` groups, their share and the cumulative share.
+
+    Windows see at most k + 1 rows: the groups found by a distributed top-k, and the total.
+    """
     s = df.groupBy(key).agg(sum_money(value, "amount") if "amount" in value else sum_count(value, "amount"))
-    s = s.withColumn("rank", row_number_desc("amount", [key]).cast("int"))
-    cum = F.sum("amount").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("amount").over(whole())
-    return (s.select(key, "rank", "amount", F.round(share_pct("amount", total), 2).alias("share_pct"),
-                     F.round(share_pct(cum, total), 2).alias("cum_share_pct"))
-            .where(F.col("rank") <= k).orderBy("rank"))
+    everything = s.agg(F.sum("amount").alias("amount")).select(
+        F.lit(None).cast(s.schema[key].dataType).alias(key), "amount", F.lit(True).alias("_total"))
+    few = top_k(s, k, "amount", [key]).withColumn("_total", F.lit(False)).unionByName(everything)
+    order = Window.orderBy("_total", F.col("amount").desc_nulls_last(), F.col(key).asc_nulls_last())
+    few = few.withColumn("rank", F.row_number().over(order).cast("int"))
+    cum = F.sum("amount").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.max(F.when(F.col("_total"), F.col("amount"))).over(whole())
+    shares = few.select(key, "rank", "amount", F.round(share_pct("amount", total), 2).alias("share_pct"),
+                        F.round(share_pct(cum, total), 2).alias("cum_share_pct"), "_total")
+    return shares.where(~F.col("_total")).drop("_total").orderBy("rank")
 
 
 def seasonality(t1: DataFrame) -> DataFrame:

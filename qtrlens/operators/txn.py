@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from qtrlens.functions.aggs import sum_count, sum_money
 from qtrlens.functions.expr import (crore, dbl, diff_from_mean_pct, first_word, floor1,
-                                    fmt_crore, fmt_million, fmt_rupees, lakh, pct_change, pct_growth,
+                                    fmt_crore, fmt_lakh, fmt_million, fmt_rupees, lakh, pct_change, pct_growth,
                                     period, ratio, share_pct, sign_flag, zscore)
 from qtrlens.functions.joins import broadcast_if_small
 from qtrlens.functions.windows import arg_best, row_number_desc, top_k, whole, with_prev
@@ -107,6 +107,12 @@ def top_states(t7: DataFrame, k: int = 10, with_avg: bool = False) -> DataFrame:
     return top_k(s, k, "total_amount", ["state"])
 
 
+def state_loader(t7: DataFrame) -> DataFrame:
+    """Every state's totals in the top tier, with the pages' labels (lakh, one-digit crore)."""
+    s = top_states(t7, None)
+    return s.withColumns({"count_label": fmt_lakh("total_count"), "amount_label": fmt_crore("total_amount", 1)})
+
+
 def top_places(df: DataFrame, level: str, k: int = 10) -> DataFrame:
     """Top ``k`` districts or pincodes by value (rows of the other level excluded)."""
     d = df.where(F.col(level).isNotNull()).groupBy("state", level).agg(

@@ -21,6 +21,14 @@ def _q(t):
     return ins.insurance_penetration_sql(t.aggregated_insurance, t.aggregated_user)
 
 
+@register("insurance_key_totals", f"""
+select state, year, quarter, {sc('insurance_count')} as insurance_count, cast(sum(insurance_amount) as decimal(20,2)) as insurance_amount
+from {T3} group by all""")
+def _q(t):
+    from qtrlens.sinks import natural_key_totals
+    return natural_key_totals(t.aggregated_insurance, "aggregated_insurance")
+
+
 @register("insurance_quarterly", f"""
 select year, quarter, {sc('insurance_count')} as total_policies, {sm('insurance_amount')} as total_premium,
   round({ratio('sum(insurance_amount)', 'sum(insurance_count)')}, 2) as avg_premium

@@ -90,6 +90,17 @@ def _q(t):
     return signals.topk_share(t.aggregated_transaction, k=3)
 
 
+@register("topk_brand_share", f"""
+with s as (select brand, {sc('user_count')} as amount from {T2} where brand is not null group by brand),
+w as (select sum(amount) as total from s),
+top as (select brand, amount, cast(rank() over (order by amount desc, brand) as int) as "rank" from s qualify "rank" <= 2)
+select a.brand, a."rank", a.amount, round({share('a.amount', 'any_value(w.total)')}, 2) as share_pct,
+  round({share('sum(b.amount)', 'any_value(w.total)')}, 2) as cum_share_pct
+from top a join top b on b."rank" <= a."rank", w group by a.brand, a."rank", a.amount""")
+def _q(t):
+    return signals.topk_share(t.aggregated_user.where("brand is not null"), key="brand", value="user_count", k=2)
+
+
 @register("seasonality", f"""
 with q as (select year, quarter, {sm('transaction_amount')} as amount from {T1} group by year, quarter),
 s as (select *, cast(round({share('amount', 'sum(amount) over (partition by year)')}, 4) as decimal(10,4)) as sh from q)

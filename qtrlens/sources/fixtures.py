@@ -3,15 +3,16 @@
 Mapping: state = nation name, district = customer market segment, pincode = customer
 key, year/quarter from the order date, transaction type = order priority, brand =
 part type, insurance = returned line items.
-out of ``aggregated_user`` so LEFT JOINs meet missing users.
 
 Everything is lazy: a query that needs one table only scans and joins what that table
 needs, with column pruning and filter pushdown into the Parquet scans. Scale notes:
 * ``nation`` is a fixed 25-row dimension; it is broadcast behind a size check.
 * orders x customer and lineitem x orders are shuffle joins on their keys (AQE may
   turn them into broadcasts when a side is small at runtime, and splits skewed keys).
-* the two-level tables (``top_*``) and ``aggregated_user`` use grouping sets: one
-  scan and one shuffle serve both grains.
+* the two-level tables (``top_*``) and ``aggregated_user`` use grouping sets over rows
+  that are already aggregated at the finest grain: one scan serves both grains, and no
+  order or line item is expanded.
+* only the tables with a brand join ``part``.
 """
 
 from __future__ import annotations
@@ -81,13 +82,17 @@ class DerivedTables:
                               o=self.raw("orders"), c=self.raw("customer"), n=n)
 
     @cached_property
-    def fx_line(self) -> DataFrame:
-        """One row per line item, carrying its order's attributes and the device brand."""
+    def fx_sale(self) -> DataFrame:
+        """One row per line item, carrying its order's attributes."""
         return self.spark.sql(f"""
-            select f.*, p.p_type as brand,
-                   l.l_returnflag, cast(l.l_extendedprice as {MONEY}) as ext
-            from {{f}} f join {{l}} l on l.l_orderkey = f.o_orderkey join {{p}} p on l.l_partkey = p.p_partkey""",
-                              f=self.fx_order, l=self.raw("lineitem"), p=self.raw("part"))
+            select f.*, l.l_partkey, l.l_returnflag, cast(l.l_extendedprice as {MONEY}) as ext
+            from {{f}} f join {{l}} l on l.l_orderkey = f.o_orderkey""", f=self.fx_order, l=self.raw("lineitem"))
+
+    @cached_property
+    def fx_line(self) -> DataFrame:
+        """One row per line item with the device brand."""
+        return self.spark.sql("select s.*, p.p_type as brand from {s} s join {p} p on s.l_partkey = p.p_partkey",
+                              s=self.fx_sale, p=self.raw("part"))
 
     @cached_property
     def transaction_years(self) -> DataFrame:
@@ -110,15 +115,17 @@ class DerivedTables:
 
     @cached_property
     def aggregated_user(self) -> DataFrame:
-        # One scan of the line items: grouping sets (state, quarter, brand) and
-        # (state, quarter) count distinct customers and lines in a single Expand +
-        # aggregate. The state-quarter totals are then attached to their brand rows by a
-        # window over the state-quarter (at most one row per brand plus the total), so
-        # there is no self-join and no second pass over the line items.
-        g = (self.fx_line
+        # One scan of the line items, first aggregated per customer and brand of a
+        # state-quarter. Grouping sets (state, quarter, brand) and (state, quarter) over
+        # those rows count distinct customers and lines. The state-quarter totals are then
+        # attached to their brand rows by a window over the state-quarter (at most one row
+        # per brand plus the total), so there is no self-join and no second pass.
+        fine = (self.fx_line.groupBy("state", "year", "quarter", "brand", "o_custkey")
+                .agg(F.count(F.lit(1)).alias("lines")))
+        g = (fine
              .groupingSets([["state", "year", "quarter", "brand"], ["state", "year", "quarter"]],
                            "state", "year", "quarter", "brand")
-             .agg(F.count_distinct("o_custkey").alias("users"), F.count(F.lit(1)).alias("lines"),
+             .agg(F.count_distinct("o_custkey").alias("users"), F.sum("lines").alias("lines"),
                   F.grouping_id().alias("gid")))
         sq = Window.partitionBy("state", "year", "quarter")
         total = F.col("gid") == 1
@@ -137,13 +144,13 @@ class DerivedTables:
         brand grouping set and no window. Operators that only read de-duplicated users
         accept it in place of the full table (de-duplicating it again is a no-op).
         """
-        return (self.fx_line
+        return (self.fx_sale
                 .groupBy("state", "year", "quarter")
                 .agg(F.count_distinct("o_custkey").alias("registered_users"), F.count(F.lit(1)).alias("app_opens")))
 
     @cached_property
     def aggregated_insurance(self) -> DataFrame:
-        return (self.fx_line.where(F.col("l_returnflag") == "R").groupBy("state", "year", "quarter")
+        return (self.fx_sale.where(F.col("l_returnflag") == "R").groupBy("state", "year", "quarter")
                 .agg(F.count(F.lit(1)).alias("insurance_count"), _money_sum("ext").alias("insurance_amount")))
 
     @cached_property
@@ -153,13 +160,13 @@ class DerivedTables:
 
     @cached_property
     def map_user(self) -> DataFrame:
-        return (self.fx_line.groupBy("state", "district", "year", "quarter")
+        return (self.fx_sale.groupBy("state", "district", "year", "quarter")
                 .agg(F.count_distinct("o_custkey").alias("registered_users"),
                      F.count(F.lit(1)).alias("app_opens")))
 
     @cached_property
     def map_insurance(self) -> DataFrame:
-        return (self.fx_line.where(F.col("l_returnflag") == "R").groupBy("state", "district", "year", "quarter")
+        return (self.fx_sale.where(F.col("l_returnflag") == "R").groupBy("state", "district", "year", "quarter")
                 .agg(F.count(F.lit(1)).alias("insurance_count"), _money_sum("ext").alias("insurance_amount")))
 
     @staticmethod
@@ -167,8 +174,9 @@ class DerivedTables:
         """District rows and pincode rows of the top tier in one pass.
 
         GROUPING SETS (state, district, period) and (state, pincode, period): columns
-        outside a set come out NULL, which is exactly the union of the two levels. One
-        Expand + partial aggregate, one shuffle, no second scan and no union.
+        outside a set come out NULL, which is exactly the union of the two levels. ``src``
+        is already aggregated by place and period, so the Expand doubles those rows only;
+        no second scan and no union.
         """
         keys = ["state", "district", "pincode", "year", "quarter"]
         g = src.groupingSets([["state", "district", "year", "quarter"], ["state", "pincode", "year", "quarter"]],
@@ -179,7 +187,7 @@ class DerivedTables:
         "top_transaction": ("fx_order", None, lambda: [F.count(F.lit(1)).alias("transaction_count"),
                                                          _money_sum("amount").alias("transaction_amount")]),
         "top_user": ("fx_order", None, lambda: [F.count_distinct("o_custkey").alias("registered_users")]),
-        "top_insurance": ("fx_line", "R", lambda: [F.count(F.lit(1)).alias("insurance_count"),
+        "top_insurance": ("fx_sale", "R", lambda: [F.count(F.lit(1)).alias("insurance_count"),
                                                     _money_sum("ext").alias("insurance_amount")]),
     }
 
@@ -200,19 +208,24 @@ class DerivedTables:
         keys = ["state", "district", "pincode", "year", "quarter"]
         return g.select(*keys, *[c for c in g.columns if c not in keys]).where(F.col(level).isNotNull())
 
+    _PLACE = ("state", "district", "pincode", "year", "quarter")
+
     @cached_property
     def top_transaction(self) -> DataFrame:
-        return self._two_levels(self.fx_order, F.count(F.lit(1)).alias("transaction_count"),
+        fine = self.fx_order.groupBy(*self._PLACE).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+        return self._two_levels(fine, F.sum("n").alias("transaction_count"),
                                 _money_sum("amount").alias("transaction_amount"))
 
     @cached_property
     def top_user(self) -> DataFrame:
-        return self._two_levels(self.fx_order, F.count_distinct("o_custkey").alias("registered_users"))
+        fine = self.fx_order.select(*self._PLACE, "o_custkey").distinct()
+        return self._two_levels(fine, F.count_distinct("o_custkey").alias("registered_users"))
 
     @cached_property
     def top_insurance(self) -> DataFrame:
-        return self._two_levels(self.fx_line.where(F.col("l_returnflag") == "R"),
-                                F.count(F.lit(1)).alias("insurance_count"),
+        fine = (self.fx_sale.where(F.col("l_returnflag") == "R").groupBy(*self._PLACE)
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("ext").alias("ext")))
+        return self._two_levels(fine, F.sum("n").alias("insurance_count"),
                                 _money_sum("ext").alias("insurance_amount"))
 
     def table(self, name: str) -> DataFrame:
@@ -239,7 +252,7 @@ class DerivedTables:
         staged.__dict__["fx_order"] = self.fx_order.checkpoint(eager=True)
         if any(n in ("aggregated_user", "aggregated_insurance", "map_user", "map_insurance", "top_insurance")
                for n in names):
-            staged.__dict__["fx_line"] = staged.fx_line.checkpoint(eager=True)
+            staged.__dict__["fx_line"] = staged.__dict__["fx_sale"] = staged.fx_line.checkpoint(eager=True)
         from qtrlens.sinks import run_jobs
         done = run_jobs({n: (lambda n=n: write_table(staged.table(n), f"{out}/{n}")) for n in names}, parallel)
         failed = {n: e for n, (_, e) in done.items() if e}

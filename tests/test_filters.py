@@ -2,8 +2,6 @@
 
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from qtrlens import sinks
 from qtrlens.operators import filters
 
@@ -21,13 +19,6 @@ def test_select_years_states_and_empty_means_all(spark):
     assert filters.select_years_states(t1, [], None).count() == t1.count()
 
 
-def test_default_and_resolved_selection(spark):
-    t1 = _t1(spark)
-    sel = filters.default_selection(t1, n_years=2, n_states=2)
-    assert sel.years == [2021, 2020] and sel.states == ["A", "B"]
-    assert filters.resolve_selection(t1, None, None).years == [2021, 2020, 2019]
-
-
 def test_newest_years_semi_join(spark):
     t1 = _t1(spark)
     got = sorted({r["year"] for r in filters.select_newest_years(t1, 2).collect()})
@@ -40,14 +31,6 @@ def test_period_range_crosses_years(spark):
     assert got == [(2019, 3), (2019, 4), (2020, 1), (2020, 2)]
 
 
-def test_top_keys_and_restrict(spark):
-    t1 = _t1(spark).withColumn("transaction_amount", F.when(F.col("state") == "C", 100).otherwise(1))
-    keys = filters.top_keys(t1, "state", "transaction_amount", 1)
-    assert [r["state"] for r in keys.collect()] == ["C"]
-    assert {r["state"] for r in filters.restrict_to(t1, keys, "state").collect()} == {"C"}
-    assert filters.first_states(["B", "A", "C"], 2) == ["B", "A"]
-
-
 def test_natural_key_totals_adds_up_appended_copies(spark):
     t1 = _t1(spark)
     doubled = sinks.natural_key_totals(t1.unionByName(t1), "aggregated_transaction")
