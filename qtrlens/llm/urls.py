@@ -27,8 +27,10 @@ RULES = (
 SAMPLE_ROWS, TREES, DEPTH = 5000, 10, 3
 #: Weight of one half in a suffix's share of blocked URLs (both verdicts weigh the same).
 SMOOTHING = 20.0
+#: Power of ten for suffixes that no judged URL has.
+RARE = -12.0
 FEATURES = ("url_length", "host_length", "path_length", "depth", "dots", "hyphens", "digit_ratio", "entropy", "parameters",
-            "parameter_length", "fragment", "suffix_urls", "suffix_blocked")
+            "parameter_length", "fragment", "suffix_share", "suffix_blocked")
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -78,7 +80,9 @@ def judged(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sam
     known = rows.withColumn("verdict", F.col("ruled"))
     if labelled is not None:
         known = lexical(parsed(labelled.select(F.lit(None).alias("page_id"), "url", "verdict")).join(labelled.select("url", "verdict").distinct(), "url"))
-    per_suffix = rows.groupBy("suffix").agg(F.log2(F.count("*") + F.lit(1.0)).alias("suffix_urls"))
+    # a suffix's share of all URLs, in whole powers of ten: a finer count would name the suffix itself
+    share = F.count("*") / F.lit(float(max(rows.count(), 1)))
+    per_suffix = rows.groupBy("suffix").agg(F.floor(F.log10(share)).cast("double").alias("suffix_share"))
     blocked = F.avg(F.when(known.verdict == "block", 1.0).when(known.verdict == "allow", 0.0))
     named = F.count(F.when(known.verdict.isin("block", "allow"), 1))
     shares = known.groupBy("suffix").agg(blocked.alias("share"), named.alias("n"), F.sum(F.when(known.verdict == "block", 1).otherwise(0)).alias("b"))
@@ -92,7 +96,7 @@ def judged(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sam
     b, a = F.col("b") * F.lit(weight["block"]), (F.col("n") - F.col("b")) * F.lit(weight["allow"])
     shares = shares.select("suffix", ((b + F.lit(SMOOTHING / 2)) / (a + b + F.lit(SMOOTHING))).alias("suffix_blocked"))
     stats = written(per_suffix.join(shares, "suffix", "left"), "url-suffixes")
-    with_stats = lambda x: x.join(stats, "suffix", "left").fillna({"suffix_urls": 0.0, "suffix_blocked": 0.5})
+    with_stats = lambda x: x.join(stats, "suffix", "left").fillna({"suffix_share": RARE, "suffix_blocked": 0.5})
     sample = known.filter(known.verdict.isin("block", "allow")).orderBy(F.xxhash64("url"), "url").limit(sample_rows)
     sample = with_stats(sample).select(*FEATURES, (F.col("verdict") == "block").cast("double").alias("y"),
                                        F.when(F.col("verdict") == "block", F.lit(weight["block"])).otherwise(F.lit(weight["allow"])).alias("w"), F.xxhash64("url").alias("k"))
