@@ -15,7 +15,7 @@ from .textscan import chunks
 #: Pieces kept from batch to batch in a worker; when full it starts anew.
 CACHE = 150_000
 #: Bytes of text that are encoded at once.
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
