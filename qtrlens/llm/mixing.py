@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MAX_PASSES = 3
 #: Rows in a cell, about (a source has as many shards as its rows need); blocks in the mix, at
-#: least, and for each cell.
+#: least, and in each source's target for each of its cells.
 SHARD_ROWS, BLOCKS, BLOCKS_PER_CELL = 2_000, 1 << 17, 256
 #: Sources are a dimension of the mix; more than this is taken for a wrong column.
 MAX_SOURCES = 100_000
@@ -84,7 +84,8 @@ def _planned(sized: DataFrame, seed: int, weights: tuple[int, ...]):
     got = sorted(((r.source, int(r.words), -(-r.n // SHARD_ROWS)) for r in got), key=lambda x: (x[0] is None, x[0] or ""))
     aim = targets([x[1] for x in got], [weights[i % len(weights)] for i in range(len(got))])
     total = sum(x[1] for x in got)
-    block = max(1, total // max(BLOCKS, BLOCKS_PER_CELL * sum(x[2] for x in got)))
+    # no source's target is so few blocks that rounding to whole ones would miss it
+    block = max(1, min([total // BLOCKS, *(a // (BLOCKS_PER_CELL * x[2]) for a, x in zip(aim, got) if a > 0)]))
     seats = [int(x) for x in sainte_lague([float(x) for x in aim], total // block)]
     kind = f"source {dict(sized.dtypes)['source']}, rank int, source_size long, target double, seats long, shards int"
     sources = sized.sparkSession.createDataFrame([(s, i, size, float(aim[i]), seats[i], shards) for i, (s, size, shards) in enumerate(got)], kind)

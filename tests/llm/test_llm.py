@@ -130,6 +130,17 @@ def test_mixing_meets_its_targets(docs):
     assert out.columns == docs.columns and sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in got)
 
 
+def test_small_sources_beside_a_large_one_meet_their_targets(spark):
+    large = "select 'large' as source, 300L as size, xxhash64(id) as key from range(1000000)"
+    small = "select concat('one', id) as source, 300L as size, xxhash64(id) as key from range(3) union all select 'two', 7L + id, xxhash64(id) from range(2)"
+    words = "select 'words' as source, 1L as size, xxhash64(id) as key from range(40000)"
+    sized = spark.sql(f"{large} union all {small} union all {words}")
+    sources, quotas = mixing._planned(sized, 20, mixing.WEIGHTS)
+    got = quotas.groupBy("rank").agg(F.sum("take").alias("take")).join(sources, "rank").collect()
+    assert {r.source for r in got} == {"large", "one0", "one1", "one2", "two", "words"}
+    assert all(r.target > 0 and abs(r["take"] - r.target) <= max(1, 0.01 * r.target) for r in got)
+
+
 def test_targets_and_sainte_lague():
     assert [float(x) for x in mixing.targets([10, 100, 10], [5, 2, 1])] == [30.0, 60.0, 30.0]
     w, seats = [5.3, 3.1, 1.6, 0.0], np.zeros(4, int)
