@@ -35,6 +35,8 @@ KEEP_FROM = 0.5
 #: Pseudo-counts of votes (bad, none, good) on good texts (on bad ones reversed), and of good
 #: and bad texts: they tell the classes apart and keep a corpus without bad texts as it is.
 PRIOR_VOTES, PRIOR_GOOD, PRIOR_BAD = (1.0, 20.0, 20.0), 9.0, 1.0
+#: Texts that the pattern counts are scaled to, so the pseudo-counts weigh the same at any size.
+SCALED_TO = 500.0
 ROUNDS = 200
 
 
@@ -64,8 +66,9 @@ def unpacked(code: np.ndarray) -> np.ndarray:
 
 def estimate(code: np.ndarray, count: np.ndarray) -> dict:
     """Each labeller's vote shares on good and on bad texts, the share of good texts and each
-    pattern's posterior of good quality, by expectation-maximisation on pattern counts."""
-    v, count = unpacked(code), count.astype(float)
+    pattern's posterior of good quality, by expectation-maximisation on pattern counts. Only the
+    mix of patterns matters, not how many texts there are."""
+    v, count = unpacked(code), count * (SCALED_TO / count.sum())
     cast = np.stack([v == k for k in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
     prior = np.array([PRIOR_VOTES, PRIOR_VOTES[::-1]])
     shares = np.repeat((prior / prior.sum(1, keepdims=True))[:, None], len(LABELLERS), 1)  # class, labeller, vote
@@ -162,7 +165,7 @@ def judged(column, model) -> dict[str, np.ndarray]:
 def weak_quality(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, n_good and n_bad (votes), posterior, score and kept of every document.
 
-    Null and empty texts get no votes, so their posterior is the corpus's share of good texts;
+    Null and empty texts get no votes, so their posterior is that of any text without votes;
     repeated rows get equal results; an empty table gives an empty result. Where the votes hold
     fewer than four bad (or good) texts no scorer is trained and the posterior decides. Other
     columns are not read."""

@@ -117,6 +117,17 @@ def test_weak_estimate_finds_the_better_labellers():
     assert ((p > 0.5) == truth).mean() > 0.97 and model["right"][0][0] > model["right"][0][6]
 
 
+def test_weak_estimate_is_the_same_at_any_size():
+    v = np.zeros((3, len(quality_weak.LABELLERS)), int)
+    v[0, 6] = v[0, 7] = 1
+    v[2, 0] = v[2, 1] = v[2, 7] = -1
+    code = quality_weak.pattern(v)
+    for n in ([93, 7, 0], [80, 7, 13]):
+        few, many = (quality_weak.estimate(code, np.array(n) * k)["posterior"] for k in (1, 10_000))
+        assert all(abs(few[c] - many[c]) < 1e-6 for c in code)
+        assert many[code[0]] > 0.5 and many[code[1]] > 0.5
+
+
 def test_mixing_meets_its_targets(docs):
     got = mixing.mix(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in got) == sorted((r[0] is None, r[0] or 0, len(WORD.findall(r[1] or ""))) for r in _rows())
