@@ -86,7 +86,8 @@ def estimate(code: np.ndarray, count: np.ndarray) -> dict:
 
 
 def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    """Label model of all documents, and the scorer of a bounded sample (``rows`` by text hash).
+    """Label model of all documents, and the scorer of a bounded sample (``rows`` by hash of id
+    and text, so copies of a text are drawn one by one).
 
     The sample takes half of its rows from patterns whose posterior is bad where there are so
     many, weighted back to the true share by the calibration."""
@@ -123,7 +124,7 @@ def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
                 on = np.flatnonzero(u < np.where(p < 0.5, take[True], take[False]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(on)), pa.array(p[on]), pa.array(u[on])], names=["text", "p", "u"])
 
-    key = F.xxhash64(F.lit(11), F.coalesce(F.col("text"), F.lit("")))
+    key = F.xxhash64(F.lit(11), "doc_id", F.coalesce(F.col("text"), F.lit("")))
     sample = docs.select("text", key.alias("k")).mapInArrow(pick, "text string, p double, u double")
     half = rows // 2
     sides = [sample.filter(c).orderBy("u", "p").limit(half) for c in ("p < 0.5", "p >= 0.5")]

@@ -23,7 +23,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Rows of the training sample (by hash), and the trees' size.
+#: Rows of the training sample (by hash, half of each verdict where there are so many), and the trees' size.
 SAMPLE_ROWS, TREES, DEPTH = 5000, 10, 3
 #: Weight of one half in a suffix's share of blocked URLs (both verdicts weigh the same).
 SMOOTHING = 20.0
@@ -92,14 +92,19 @@ def judged(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sam
     if not 0 < n_blocked < n_known:
         only = "block" if n_known and n_blocked == n_known else "allow"
         return rows.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"))
-    weight = {"block": n_known / (2 * n_blocked), "allow": n_known / (2 * (n_known - n_blocked))}  # rules say nothing of how many are bad
+    n_allowed = n_known - n_blocked
+    weight = {"block": n_known / (2 * n_blocked), "allow": n_known / (2 * n_allowed)}  # rules say nothing of how many are bad
     b, a = F.col("b") * F.lit(weight["block"]), (F.col("n") - F.col("b")) * F.lit(weight["allow"])
     shares = shares.select("suffix", ((b + F.lit(SMOOTHING / 2)) / (a + b + F.lit(SMOOTHING))).alias("suffix_blocked"))
     stats = written(per_suffix.join(shares, "suffix", "left"), "url-suffixes")
     with_stats = lambda x: x.join(stats, "suffix", "left").fillna({"suffix_share": RARE, "suffix_blocked": 0.5})
-    sample = known.filter(known.verdict.isin("block", "allow")).orderBy(F.xxhash64("url"), "url").limit(sample_rows)
-    sample = with_stats(sample).select(*FEATURES, (F.col("verdict") == "block").cast("double").alias("y"),
-                                       F.when(F.col("verdict") == "block", F.lit(weight["block"])).otherwise(F.lit(weight["allow"])).alias("w"), F.xxhash64("url").alias("k"))
+    half = sample_rows // 2
+    take = {"block": min(n_blocked, max(half, sample_rows - n_allowed)), "allow": min(n_allowed, max(sample_rows - half, sample_rows - n_blocked))}
+    # by row id and url: copies of a url are drawn one by one
+    sides = [known.filter(known.verdict == v).orderBy(F.xxhash64("page_id", "url"), "url").limit(n) for v, n in take.items()]
+    drawn = {v: sum(take.values()) / (2 * n) for v, n in take.items()}  # both verdicts weigh the same in the sample, too
+    sample = with_stats(sides[0].unionAll(sides[1])).select(*FEATURES, (F.col("verdict") == "block").cast("double").alias("y"),
+                                       F.when(F.col("verdict") == "block", F.lit(drawn["block"])).otherwise(F.lit(drawn["allow"])).alias("w"), F.xxhash64("page_id", "url").alias("k"))
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="x")
     fitted = written(sample.repartition(1).sortWithinPartitions("k", *FEATURES), "url-sample")
     model = GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", predictionCol="blocked", maxIter=TREES, maxDepth=DEPTH, seed=6, checkpointInterval=-1).fit(table.transform(fitted.coalesce(1)))

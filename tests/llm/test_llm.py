@@ -128,6 +128,15 @@ def test_weak_estimate_is_the_same_at_any_size():
         assert many[code[0]] > 0.5 and many[code[1]] > 0.5
 
 
+def test_weak_sample_draws_copies_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    names = ["river", "stone", "garden", "window", "letter", "summer", "market", "bridge", "silver", "winter"]
+    rows = [(i, " ".join(rng.choice(names, 6, replace=False))) for i in range(3000)]
+    rows += [(10_000 + i, "#$% !! #$% #$% !! &&& #$% !! #$% !! #$%") for i in range(600)]
+    model = quality_weak.trained(spark.createDataFrame(rows, "doc_id long, text string"), rows=40)
+    assert model["scorer"] is not None
+
+
 def test_mixing_meets_its_targets(docs):
     got = mixing.mix(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r["size"]) for r in got) == sorted((r[0] is None, r[0] or 0, len(WORD.findall(r[1] or ""))) for r in _rows())
@@ -237,6 +246,14 @@ def test_url_filter(spark):
     assert all(v[3] in ("allow", "block") for v in got.values())
 
 
+def test_url_sample_has_both_verdicts_where_urls_have_many_copies(spark):
+    rules = (("allow", "a.com", "/"), ("block", "b.net", "/"))
+    pages = spark.range(2000).selectExpr("id as page_id", "if(id % 2 = 0, 'https://a.com/en/x', 'https://b.net/es/x') as url")
+    pages = pages.unionAll(spark.createDataFrame([(5000, "https://d.com/en/x"), (5001, "https://d.net/es/x")], "page_id long, url string"))
+    got = {r.page_id: r.verdict for r in urls.judged(pages, rules, sample_rows=50).filter("page_id >= 5000").collect()}
+    assert got == {5000: "allow", 5001: "block"}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16))
