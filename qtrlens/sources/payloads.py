@@ -65,9 +65,10 @@ def payloads(df: DataFrame, table: str, levels: tuple[DataFrame, DataFrame] | No
             F.col("district").alias("name"), F.array(_ca(c, a)).alias("metric"))).alias("l"))
         return _wrap(g, table, F.struct(F.col("l").alias("hoverDataList")))
     if table == "map_user":
-        # JSON object keys cannot be null: the source format has no NULL district here
-        g = df.where(F.col("district").isNotNull()).groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct(
-            F.col("district"), F.struct(F.col("registered_users").alias("registeredUsers"),
+        # JSON object keys cannot be null: a NULL district has no place in the source format
+        district = F.coalesce("district", F.raise_error(F.lit("map_user: null district")).cast("string"))
+        g = df.groupBy(*k).agg(F.map_from_entries(F.collect_list(F.struct(
+            district.alias("district"), F.struct(F.col("registered_users").alias("registeredUsers"),
                                         F.col("app_opens").alias("appOpens"))))).alias("m"))
         return _wrap(g, table, F.struct(F.col("m").alias("hoverData")))
     if table in ("top_transaction", "top_insurance", "top_user"):

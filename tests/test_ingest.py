@@ -174,3 +174,12 @@ def test_load_and_refresh_share_a_folder(spark, tree, tmpdir_fresh):
             sinks.load_all(spark, tree, out, ["aggregated_user"])
         seen.append(rows(sinks.read_table(spark, f"{out}/aggregated_user", "aggregated_user"), *cols))
     assert all(s == rows(ingest.load_table(spark, tree, "aggregated_user"), *cols) for s in seen)
+
+
+def test_map_user_payloads_refuse_a_null_district(spark):
+    from qtrlens.sources.payloads import round_trip
+    cols = "state string, year smallint, quarter int, district string, registered_users bigint, app_opens bigint"
+    good = spark.createDataFrame([("Kerala", 2020, 1, "a", 1, 2), ("Kerala", 2020, 1, "b", 3, 4)], cols)
+    assert round_trip(good, "map_user").count() == 2
+    with pytest.raises(Exception, match="null district"):
+        round_trip(good.unionAll(spark.createDataFrame([("Kerala", 2020, 1, None, 5, 6)], cols)), "map_user").collect()
