@@ -81,6 +81,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict
     Labels with a null in doc_id or quality are left out; a doc_id with several labels counts
     as bad if one of them is. Only the sampled ids are broadcast."""
     ids = written(labels.filter("doc_id is not null and quality is not null")
+                  .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels may cover other documents
                   .groupBy("doc_id").agg(F.min("quality").alias("label"))
                   .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled-ids")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text")

@@ -95,6 +95,11 @@ def test_quality_rules_without_labels_use_the_base_rule(docs, labels):
     assert all(r.kept == (not r.base_failed) and r.quality is None for r in got)
 
 
+def test_quality_rules_sample_labels_of_the_documents_at_hand(spark, docs):
+    far = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    assert quality_rules.trained(docs, far, rows=40) is not None
+
+
 def test_quality_models_on_held_out_documents(spark):
     root = "/root/testdata/sf0.01"
     d, l = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
