@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, licenses, mixing, packing, quality_rules, quality_weak, simhash, tokenscan, urls, warc
+from . import ann, chat, licenses, mixing, packing, quality_rules, quality_weak, runs, simhash, tokenscan, trie, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +54,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenscan.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_license_scan, op2_mixing, op3_quality_rules, op4_quality_classifier, op5_warc, op6_url_filter,
-             op7_best_fit_packing, op8_simhash, op9_nearest_neighbours, op10_token_counts)
+             op7_best_fit_packing, op8_simhash, op9_nearest_neighbours, op10_token_counts, op11_periodic_runs, op12_chat_format, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.duckdb_sql(), "op5_warc": warc.duckdb_sql()}
+    return {"op1_license_scan": licenses.duckdb_sql(), "op5_warc": warc.duckdb_sql(), "op12_chat_format": chat.duckdb_sql()}
