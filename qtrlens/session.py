@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,8 +40,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme Spark reads it by. A folder named without one is in the session's
+    default file system, which need not be the local disk that plain file calls would use."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hpath).toString()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only when unset.
+    """Return the shared checkpoint folder (with its scheme), setting a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` must point at shared storage and is set by
     the platform; we read it and never override it (and refuse to invent one). Only a
@@ -51,9 +59,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named and not current:
         context.setCheckpointDir(named)
     if named or current:
-        return named or current
+        return qualified(spark, named or current)
     if not (context.master or "").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
                            "(a machine-local folder does not survive executor loss)")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="qtrlens-ckpt-"))
-    return context.getCheckpointDir()
+    return qualified(spark, context.getCheckpointDir())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/qtrlens/{name}-{uuid.uuid4().hex}"

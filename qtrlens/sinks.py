@@ -1,14 +1,15 @@
-"""Sinks: write the tables, load all nine with a per-table report.
+"""Sinks: write the tables, keep them in step with a tree of files, load all nine with a report.
 
 Writes are idempotent: Parquet partitioned by ``year`` with dynamic partition
 overwrite, so re-running a load replaces the years it touches instead of appending
-duplicates. The row count comes from an ``Observation`` on the same write job (no
+duplicates. ``sync_table`` merges by file, with a manifest. The row count of a write comes from an ``Observation`` on the same write job (no
 second pass over the data).
 """
 
 from __future__ import annotations
 
 import logging
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,31 +40,99 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 FILE_KEY = ["state", "year", "quarter"]
 
 
-def merge_files(payloads: DataFrame, table: str, path: str) -> tuple[int, int, int]:
-    """Put the rows of parsed files into the table at ``path``: a file's rows replace those that
-    the table has for its state, year and quarter, so loading a file again changes nothing.
-    Files that did not parse go to ``_quarantine`` beside the table and leave its rows alone.
-    Returns (files read, rows loaded, files quarantined)."""
+@dataclass(frozen=True)
+class Merged:
+    """What a merge did: files read, rows they gave, files it could not use, files gone since."""
+    files: int = 0
+    rows: int = 0
+    quarantined: int = 0
+    removed: int = 0
+
+
+def sync_table(spark: SparkSession, root: str, table: str, out_dir: str, everything: bool = False,
+               arrived: DataFrame | None = None) -> Merged:
+    """Make ``out_dir/<table>`` what a fresh load of the files under ``root`` would make it.
+
+    The listing is compared with the table's manifest (``sources.manifest``). Files that are new or
+    changed are read, once; ``everything`` takes all files for changed. The rows of a state, year
+    and quarter are replaced by those of all its present files as soon as one of them is new,
+    changed or removed, so files that lost their entries or are gone leave no rows. Only the years
+    concerned are written; a year without rows left is deleted. Files that cannot be used keep
+    their text in the manifest, and in ``_quarantine/<table>``, until they are mended.
+
+    ``arrived`` (with file_path) limits the work to the quarters of these files. The manifest is
+    written last: a run that is cut off is repeated by the next one, with the same result. Two
+    runs on one folder at a time are not supported.
+    """
     from qtrlens.session import ensure_checkpoint_dir
-    from qtrlens.sources.ingest import CORRUPT, _exists, quarantined, rows_of
-    spark = payloads.sparkSession
+    from qtrlens.sources import manifest as M
+    from qtrlens.sources.ingest import CORRUPT, FLATTEN, _exists, empty_table, list_files, quarantined, read_payloads, rows_of, with_path_keys
     ensure_checkpoint_dir(spark)
-    counts = payloads.groupBy(F.col("data").isNull().alias("empty"), F.col(CORRUPT).isNull().alias("ok")).count().collect()
-    good, bad = (sum(r["count"] for r in counts if r["ok"] == ok) for ok in (True, False))
-    new = rows_of(payloads, table)
-    if good and _exists(spark, path):
-        keys = payloads.where(F.col(CORRUPT).isNull() & (F.hash("data").bitwiseAND(F.lit(0)) == 0)).select(*FILE_KEY).distinct()
+    base = out_dir.rstrip("/")
+    path = f"{base}/{table}"
+    listing = list_files(spark, root, table)
+    if listing is None:
+        listing = spark.createDataFrame([], "file_path string, modified timestamp, size bigint")
+    known = M.read_manifest(spark, base, table)
+    plan = M.compared(listing, known)
+    if everything:
+        plan = plan.withColumn("status", F.when(F.col("status") == "same", "changed").otherwise(F.col("status")))
+    if arrived is not None:
+        quarters = with_path_keys(arrived.select("file_path").distinct()).select(*FILE_KEY).distinct()
+        named = plan.join(quarters, [plan[k].eqNullSafe(quarters[k]) for k in FILE_KEY], "left_semi")
+        plan = named.withColumn("status", F.when(F.col("status") == "same", "changed").otherwise(F.col("status")))
+    plan = plan.checkpoint()
+    touched = plan.where("status != 'same'")
+    counts = {r["status"]: r for r in touched.groupBy("status").agg(F.count("*").alias("n"), F.min("modified").alias("since")).collect()}
+    stored = _exists(spark, path)
+    if not counts:
+        if not stored:
+            write_table(empty_table(spark, table), path)
+        return Merged()
+
+    # every present file of a quarter of which a file is touched; a path without a quarter for itself
+    keys = touched.where("quarter is not null").select(*FILE_KEY).distinct()
+    present = plan.where("status != 'removed'")
+    present = present.join(keys, FILE_KEY, "left_semi").unionByName(present.where("quarter is null and status != 'same'"))
+    since = present.agg(F.min("modified")).first()[0]
+    if since is None:
+        parsed = None
+    else:
+        parsed = read_payloads(spark, root, table, since).join(present.select("file_path"), "file_path", "left_semi").checkpoint()
+    new = rows_of(parsed, table) if parsed is not None else empty_table(spark, table)
+
+    # the table's years that hold such quarters (on a full load, all)
+    years = keys.select("year").distinct()
+    if stored:
         old = read_table(spark, path, table)
-        touched = old.join(keys.select("year").distinct(), "year", "left_semi").join(keys, FILE_KEY, "left_anti")
-        merged = touched.select(*new.columns).unionByName(new).checkpoint()
-        write_table(merged, path)
-        rows = new.count()
+        kept = old.join(years, "year", "left_semi").join(keys, FILE_KEY, "left_anti") if not everything else old.where("false")
+        merged = kept.select(*new.columns).unionByName(new).checkpoint()
+        was = old.select("year").distinct() if everything else old.join(years, "year", "left_semi").select("year").distinct()
+        gone = [r[0] for r in was.join(merged.select("year").distinct(), "year", "left_anti").collect()]
     else:
-        rows = write_table(new, path) if good else 0
-    if bad:
-        parent, name = path.rstrip("/").rsplit("/", 1)
-        quarantined(payloads).write.mode("append").parquet(f"{parent}/_quarantine/{name}")
-    return good + bad, rows, bad
+        merged, gone = new, []
+    write_table(merged, path)
+    for year in gone:
+        M.delete_folder(spark, f"{path}/year={year}")
+
+    # the manifest: what was read as it was read, the rest as it was known
+    entries = known.join(plan.where("status = 'removed'").select("file_path"), "file_path", "left_anti")
+    if parsed is not None:
+        # flatteners pass the state through, so the path in its place counts rows by file
+        by_file = FLATTEN[table](parsed.where(F.col(CORRUPT).isNull()).withColumn("state", F.col("file_path"))).groupBy(F.col("state").alias("file_path")).agg(F.count("*").alias("rows"))
+        read = parsed.join(by_file, "file_path", "left").join(quarantined(parsed), "file_path", "left").select(
+            "file_path", "modified", "size", "hash", *FILE_KEY, F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"), "raw", "partly_read")
+        entries = entries.join(parsed.select("file_path"), "file_path", "left_anti").select(*read.columns).unionByName(read)
+    entries = entries.checkpoint()
+    M.write_manifest(entries, base, table)
+    bad = entries.where("raw is not null").select("file_path", "raw", "partly_read")
+    if bad.limit(1).count() or _exists(spark, f"{base}/_quarantine/{table}"):
+        bad.write.mode("overwrite").parquet(f"{base}/_quarantine/{table}")
+    files = rows = broken = 0
+    if parsed is not None:
+        files, broken = parsed.agg(F.count("*"), F.count(CORRUPT)).first()
+        rows = new.count()
+    return Merged(files, rows, broken, counts["removed"]["n"] if "removed" in counts else 0)
 
 
 def run_jobs(jobs: dict[str, "callable"], parallel: int = 1) -> dict[str, tuple[int | None, str | None]]:
@@ -88,23 +157,16 @@ def load_all(spark: SparkSession, root: str, out_dir: str, tables: list[str] | N
     (``parallel`` > 1 runs that many table loads concurrently).
 
     A failing table does not stop the others; the report has one row per table: ``(tier, table,
-    rows, error, files, quarantined)``; files = those loaded + those quarantined.
+    rows, error, files, quarantined, removed)``; files = those loaded + those quarantined, removed
+    = those of the last load or refresh that are gone. Loading again gives the same tables.
     """
-    from qtrlens.sources.ingest import empty_table, read_payloads
-
-    def load(name: str) -> tuple[int, int, int]:
-        found = read_payloads(spark, root, name)
-        if found is None:
-            write_table(empty_table(spark, name), f"{base}/{name}")
-            return 0, 0, 0
-        return merge_files(found, name, f"{base}/{name}")
-    base = out_dir.rstrip("/")
     tier_of = {n: t for t, names in TIERS.items() for n in names}
-    jobs = {n: (lambda n=n: load(n))
+    jobs = {n: (lambda n=n: sync_table(spark, root, n, out_dir, everything=True))
             for n in tier_of if not tables or n in tables}
     done = run_jobs(jobs, parallel)
-    report = [(tier_of[n], n, got and got[1], error, got and got[0], got and got[2]) for n, (got, error) in done.items()]
-    return spark.createDataFrame(report, "tier string, table string, rows bigint, error string, files bigint, quarantined bigint")
+    report = [(tier_of[n], n, got and got.rows, error, got and got.files, got and got.quarantined, got and got.removed)
+              for n, (got, error) in done.items()]
+    return spark.createDataFrame(report, "tier string, table string, rows bigint, error string, files bigint, quarantined bigint, removed bigint")
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:

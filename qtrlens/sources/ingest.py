@@ -27,7 +27,8 @@ from qtrlens.functions.expr import slug_to_title
 log = logging.getLogger(__name__)
 
 CORRUPT = "_corrupt_record"
-PATH_RE = r"/state/([^/]+)/([0-9]{4})/([0-9]+)\.json$"
+#: A quarter's file may come in numbered parts: ``1.json``, ``1.2.json``.
+PATH_RE = r"/state/([^/]+)/([0-9]{4})/([0-9]+)(?:\.[0-9]+)?\.json$"
 
 
 @dataclass(frozen=True)
@@ -60,35 +61,56 @@ SOURCES: dict[str, Source] = {
 # ---- path parsing ---------------------------------------------------------------------
 
 def with_path_keys(df: DataFrame, path: Column | str = "file_path") -> DataFrame:
-    """Add state (title-cased slug), year and quarter parsed from the file path."""
+    """Add state (title-cased slug), year and quarter parsed from the file path (of another
+    path: an empty state, null year and quarter)."""
     p = F.col(path) if isinstance(path, str) else path
     p = F.url_decode(F.replace(p, F.lit("+"), F.lit("%2B")))  # Spark reports file paths percent-encoded
     return (df.withColumn("state", slug_to_title(F.regexp_extract(p, PATH_RE, 1)))
-            .withColumn("year", F.regexp_extract(p, PATH_RE, 2).cast("smallint"))
-            .withColumn("quarter", F.regexp_extract(p, PATH_RE, 3).cast("int")))
+            .withColumn("year", F.regexp_extract(p, PATH_RE, 2).try_cast("smallint"))
+            .withColumn("quarter", F.regexp_extract(p, PATH_RE, 3).try_cast("int")))
 
 
 def _reader_schema(payload: T.StructType) -> T.StructType:
     return T.StructType(list(payload.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
-def read_payloads(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """Parsed payload rows ``(file_path, state, year, quarter, data, _corrupt_record)``.
+def list_files(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """``(file_path, modified, size)`` of the table's files; their contents are not read. None when
+    the tier directory does not exist."""
+    base = SOURCES[table].base(root)
+    if not _exists(spark, base):
+        log.warning("ingest: path not found, %s left empty: %s", table, base)
+        return None
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(base)
+    return found.select(F.col("_metadata.file_path").alias("file_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+
+
+def read_payloads(spark: SparkSession, root: str, table: str, since=None) -> DataFrame | None:
+    """Parsed payload rows ``(file_path, modified, size, hash, state, year, quarter, data, _corrupt_record)``,
+    one per file; with ``since``, of files modified then or later (others are not opened).
 
     Returns None when the tier directory does not exist. One task reads a group of
-    small files (``spark.sql.files.openCostInBytes`` packs them); nothing is collected.
+    small files (``spark.sql.files.openCostInBytes`` packs them); nothing is collected. A file
+    that is empty, no JSON object, or not at ``.../state/<slug>/<year>/<quarter>.json`` has its
+    text in ``_corrupt_record``.
     """
     src = SOURCES[table]
     base = src.base(root)
     if not _exists(spark, base):
         log.warning("ingest: path not found, %s left empty: %s", table, base)
         return None
-    raw = (spark.read.schema(_reader_schema(src.payload))
-           .option("multiLine", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-           .json(base))
-    return with_path_keys(raw.withColumn("file_path", F.col("_metadata.file_path")))
+    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.json").text(base))
+    if since is not None:
+        raw = raw.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    files = raw.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"),
+                       F.col("_metadata.file_size").alias("size"), F.md5("value").alias("hash"), "value")
+    text = F.regexp_replace("value", "^\ufeff", "")
+    record = F.from_json(text, _reader_schema(src.payload), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    keyed = with_path_keys(files.withColumn("j", record))
+    usable = F.col("j").isNotNull() & F.col("year").isNotNull() & F.col("quarter").isNotNull()
+    return keyed.select("file_path", "modified", "size", "hash", "state", "year", "quarter", F.col("j.data").alias("data"),
+                        F.when(usable, F.col(f"j.{CORRUPT}")).otherwise(F.col("value")).alias(CORRUPT))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -239,7 +261,5 @@ def quarantine(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def quarantined(payloads: DataFrame) -> DataFrame:
-    # The filter reads ``data`` too (always true): Spark refuses scans of the corrupt column alone.
-    reads_data = F.hash("data").bitwiseAND(F.lit(0)) == 0
-    return payloads.where(F.col(CORRUPT).isNotNull() & reads_data).select(
+    return payloads.where(F.col(CORRUPT).isNotNull()).select(
         "file_path", F.col(CORRUPT).alias("raw"), F.col("data").isNotNull().alias("partly_read"))
