@@ -57,8 +57,10 @@ def sync_table(spark: SparkSession, root: str, table: str, out_dir: str, everyth
     changed are read, once; ``everything`` takes all files for changed. The rows of a state, year
     and quarter are replaced by those of all its present files as soon as one of them is new,
     changed or removed, so files that lost their entries or are gone leave no rows. Only the years
-    concerned are written; a year without rows left is deleted. Files that cannot be used keep
-    their text in the manifest, and in ``_quarantine/<table>``, until they are mended.
+    concerned are written; a year without rows left is deleted. A file of zero bytes is no file
+    (Spark does not list it). Files that cannot be used keep their text in the manifest, and in
+    ``_quarantine/<table>``, until they are mended. A change that leaves a file's time and size as
+    they were is seen by a load only.
 
     ``arrived`` (with file_path) limits the work to the quarters of these files. The manifest is
     written last: a run that is cut off is repeated by the next one, with the same result. Two
@@ -116,23 +118,22 @@ def sync_table(spark: SparkSession, root: str, table: str, out_dir: str, everyth
         M.delete_folder(spark, f"{path}/year={year}")
 
     # the manifest: what was read as it was read, the rest as it was known
-    entries = known.join(plan.where("status = 'removed'").select("file_path"), "file_path", "left_anti")
+    entries = known.join(plan.where("status = 'removed'").select("file_path"), "file_path", "left_anti").withColumn("fresh", F.lit(False))
     if parsed is not None:
         # flatteners pass the state through, so the path in its place counts rows by file
-        by_file = FLATTEN[table](parsed.where(F.col(CORRUPT).isNull()).withColumn("state", F.col("file_path"))).groupBy(F.col("state").alias("file_path")).agg(F.count("*").alias("rows"))
+        by_file = (FLATTEN[table](parsed.where(F.col(CORRUPT).isNull()).withColumn("state", F.col("file_path")))
+                   .groupBy(F.col("state").alias("file_path")).agg(F.count("*").alias("rows")))
         read = parsed.join(by_file, "file_path", "left").join(quarantined(parsed), "file_path", "left").select(
-            "file_path", "modified", "size", "hash", *FILE_KEY, F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"), "raw", "partly_read")
+            "file_path", "modified", "size", "hash", *FILE_KEY, F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"), "raw", "partly_read",
+            F.lit(True).alias("fresh"))
         entries = entries.join(parsed.select("file_path"), "file_path", "left_anti").select(*read.columns).unionByName(read)
     entries = entries.checkpoint()
-    M.write_manifest(entries, base, table)
-    bad = entries.where("raw is not null").select("file_path", "raw", "partly_read")
-    if bad.limit(1).count() or _exists(spark, f"{base}/_quarantine/{table}"):
-        bad.write.mode("overwrite").parquet(f"{base}/_quarantine/{table}")
-    files = rows = broken = 0
-    if parsed is not None:
-        files, broken = parsed.agg(F.count("*"), F.count(CORRUPT)).first()
-        rows = new.count()
-    return Merged(files, rows, broken, counts["removed"]["n"] if "removed" in counts else 0)
+    M.write_manifest(entries.drop("fresh"), base, table)
+    got = entries.agg(F.count_if("fresh").alias("files"), F.sum(F.when(F.col("fresh"), F.col("rows"))).alias("rows"),
+                      F.count_if(F.col("fresh") & F.col("raw").isNotNull()).alias("broken"), F.count("raw").alias("bad")).first()
+    if got.bad or _exists(spark, f"{base}/_quarantine/{table}"):
+        entries.where("raw is not null").select("file_path", "raw", "partly_read").write.mode("overwrite").parquet(f"{base}/_quarantine/{table}")
+    return Merged(got.files, got.rows or 0, got.broken, counts["removed"]["n"] if "removed" in counts else 0)
 
 
 def run_jobs(jobs: dict[str, "callable"], parallel: int = 1) -> dict[str, tuple[int | None, str | None]]:

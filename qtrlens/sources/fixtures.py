@@ -231,6 +231,17 @@ class DerivedTables:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def staged(self, names: list[str] | None = None) -> "DerivedTables":
+        """The same tables over checkpoints of the order facts and, if one of ``names`` (default: all)
+        needs them, the line facts: derived once, however many tables are built of them."""
+        from qtrlens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        staged = DerivedTables(self.spark, self.sf_dir)
+        staged.__dict__["fx_order"] = self.fx_order.checkpoint(eager=True)
+        if names is None or any(n in ("aggregated_user", "aggregated_insurance", "map_user", "map_insurance", "top_insurance") for n in names):
+            staged.__dict__["fx_line"] = staged.__dict__["fx_sale"] = self.fx_line.checkpoint(eager=True)
+        return staged
+
     def materialize(self, out_dir: str | None = None, tables: list[str] | None = None,
                     parallel: int = 1) -> "StoredTables":
         """ETL: write the nine tables once, as Parquet partitioned by ``year``.
@@ -248,11 +259,7 @@ class DerivedTables:
         root = ensure_checkpoint_dir(self.spark).rstrip("/")
         out = (out_dir or f"{root}/tables").rstrip("/")
         names = tables or TABLES
-        staged = DerivedTables(self.spark, self.sf_dir)
-        staged.__dict__["fx_order"] = self.fx_order.checkpoint(eager=True)
-        if any(n in ("aggregated_user", "aggregated_insurance", "map_user", "map_insurance", "top_insurance")
-               for n in names):
-            staged.__dict__["fx_line"] = staged.__dict__["fx_sale"] = staged.fx_line.checkpoint(eager=True)
+        staged = self.staged(names)
         from qtrlens.sinks import run_jobs
         done = run_jobs({n: (lambda n=n: write_table(staged.table(n), f"{out}/{n}")) for n in names}, parallel)
         failed = {n: e for n, (_, e) in done.items() if e}

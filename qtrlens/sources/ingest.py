@@ -91,7 +91,7 @@ def read_payloads(spark: SparkSession, root: str, table: str, since=None) -> Dat
 
     Returns None when the tier directory does not exist. One task reads a group of
     small files (``spark.sql.files.openCostInBytes`` packs them); nothing is collected. A file
-    that is empty, no JSON object, or not at ``.../state/<slug>/<year>/<quarter>.json`` has its
+    that is blank, no JSON object, or not at ``.../state/<slug>/<year>/<quarter>.json`` has its
     text in ``_corrupt_record``.
     """
     src = SOURCES[table]
