@@ -9,9 +9,9 @@ needs, with column pruning and filter pushdown into the Parquet scans. Scale not
 * ``nation`` is a fixed 25-row dimension; it is broadcast behind a size check.
 * orders x customer and lineitem x orders are shuffle joins on their keys (AQE may
   turn them into broadcasts when a side is small at runtime, and splits skewed keys).
-* the two-level tables (``top_*``) and ``aggregated_user`` use grouping sets over rows
-  that are already aggregated at the finest grain: one scan serves both grains, and no
-  order or line item is expanded.
+* the two-level tables (``top_*``) use grouping sets over rows that are already aggregated
+  at the finest grain, ``aggregated_user`` marks one row per customer: one scan serves
+  both grains, and no order or line item is expanded.
 * only the tables with a brand join ``part``.
 """
 
@@ -83,9 +83,12 @@ class DerivedTables:
 
     @cached_property
     def fx_sale(self) -> DataFrame:
-        """One row per line item, carrying its order's attributes."""
+        """One row per line item, carrying its order's attributes.
+
+        Line items are the largest table at any size: the hint keeps them (or the orders) from
+        being broadcast where an estimate of their pruned columns looks small."""
         return self.spark.sql(f"""
-            select f.*, l.l_partkey, l.l_returnflag, cast(l.l_extendedprice as {MONEY}) as ext
+            select /*+ MERGE(l) */ f.*, l.l_partkey, l.l_returnflag, cast(l.l_extendedprice as {MONEY}) as ext
             from {{f}} f join {{l}} l on l.l_orderkey = f.o_orderkey""", f=self.fx_order, l=self.raw("lineitem"))
 
     @cached_property
@@ -116,24 +119,19 @@ class DerivedTables:
     @cached_property
     def aggregated_user(self) -> DataFrame:
         # One scan of the line items, first aggregated per customer and brand of a
-        # state-quarter. Grouping sets (state, quarter, brand) and (state, quarter) over
-        # those rows count distinct customers and lines. The state-quarter totals are then
-        # attached to their brand rows by a window over the state-quarter (at most one row
-        # per brand plus the total), so there is no self-join and no second pass.
-        fine = (self.fx_line.groupBy("state", "year", "quarter", "brand", "o_custkey")
-                .agg(F.count(F.lit(1)).alias("lines")))
-        g = (fine
-             .groupingSets([["state", "year", "quarter", "brand"], ["state", "year", "quarter"]],
-                           "state", "year", "quarter", "brand")
-             .agg(F.count_distinct("o_custkey").alias("users"), F.sum("lines").alias("lines"),
-                  F.grouping_id().alias("gid")))
-        sq = Window.partitionBy("state", "year", "quarter")
-        total = F.col("gid") == 1
-        return (g.withColumn("registered_users", F.max(F.when(total, F.col("users"))).over(sq))
-                .withColumn("app_opens", F.max(F.when(total, F.col("lines"))).over(sq))
-                .where(F.col("gid") == 0)
-                .select("state", "year", "quarter", "brand", F.col("users").alias("user_count"),
-                        "registered_users", "app_opens"))
+        # state-quarter: a brand's distinct customers are then rows to count. One row of each
+        # customer is marked as its first, so the state-quarter's distinct customers are
+        # the marks to add up. The totals meet their brand rows in a window over the
+        # state-quarter (a row per brand). No Expand and no distinct aggregate; who reads
+        # brands only pays neither for the marks nor for the totals (both are pruned).
+        sq = ["state", "year", "quarter"]
+        fine = self.fx_line.groupBy(*sq, "o_custkey", "brand").agg(F.count(F.lit(1)).alias("lines"))
+        one = F.row_number().over(Window.partitionBy(*sq, "o_custkey").orderBy("brand")) == 1
+        by_brand = (fine.withColumn("customer", one.cast("bigint")).groupBy(*sq, "brand")
+                    .agg(F.count(F.lit(1)).alias("user_count"), F.sum("customer").alias("customers"), F.sum("lines").alias("lines")))
+        total = Window.partitionBy(*sq)
+        return by_brand.select(*sq, "brand", "user_count", F.sum("customers").over(total).alias("registered_users"),
+                               F.sum("lines").over(total).alias("app_opens"))
 
     @cached_property
     def user_totals(self) -> DataFrame:
@@ -218,8 +216,10 @@ class DerivedTables:
 
     @cached_property
     def top_user(self) -> DataFrame:
-        fine = self.fx_order.select(*self._PLACE, "o_custkey").distinct()
-        return self._two_levels(fine, F.count_distinct("o_custkey").alias("registered_users"))
+        # the pincode is the customer: a place's distinct rows are its customers, and a
+        # pincode has one
+        fine = self.fx_order.select(*self._PLACE).distinct()
+        return self._two_levels(fine, F.when(F.grouping("pincode") == 0, F.lit(1)).otherwise(F.count(F.lit(1))).cast("bigint").alias("registered_users"))
 
     @cached_property
     def top_insurance(self) -> DataFrame:

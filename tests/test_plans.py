@@ -40,11 +40,20 @@ def test_nation_dimension_is_broadcast(spark):
 
 
 def test_two_grain_tables_scan_once(spark):
-    """top_* and aggregated_user use grouping sets: a single Expand, no Union."""
+    """top_* use grouping sets: a single Expand, no Union; aggregated_user needs neither."""
     t = DerivedTables(spark, SF)
-    for name in ["top_transaction", "top_user", "top_insurance", "aggregated_user"]:
+    for name in ["top_transaction", "top_user", "top_insurance"]:
         text = t.table(name)._jdf.queryExecution().optimizedPlan().toString()
         assert "Expand" in text and "Union" not in text, name
+    text = t.aggregated_user._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in text and "Union" not in text and text.count("lineitem.parquet") <= 1
+    assert "distinct" not in t.aggregated_user._jdf.queryExecution().executedPlan().toString()
+
+
+def test_who_reads_brands_only_pays_for_brands_only(spark):
+    t = DerivedTables(spark, SF)
+    text = t.aggregated_user.select("state", "brand", "user_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "row_number" not in text
 
 
 def test_aggregates_are_partial_before_shuffle(spark):
