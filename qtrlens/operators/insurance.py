@@ -65,6 +65,7 @@ def insurance_growth_yoy(t3: DataFrame) -> DataFrame:
             .orderBy("year"))
 
 
+# The score bars and classes of the statement.
 SQL_PRIORITY = [(0.3, "Critical Priority"), (0.1, "High Priority"), (0.0, "Medium Priority")]
 
 
@@ -122,6 +123,7 @@ def insurance_yoy(t3: DataFrame) -> DataFrame:
             .where(F.col("yoy_growth").isNotNull()).orderBy("year"))
 
 
+# The bands of the page and their names.
 PAGE_EDGES = [-2.0, -0.1, 0.1, 0.3, 1.0]
 PAGE_LABELS = ["Low", "Medium", "High", "Critical"]
 

@@ -1,8 +1,11 @@
-"""Matrix result sets (heatmaps): an aggregate pivoted on a closed list of values.
+"""Matrix result sets (heatmaps): an aggregate pivoted on a closed list of values, or keyed by
+whatever values there are.
 
 ``groupBy(index).pivot(column, values)`` is one lazy aggregate with a column per value. The
 quarters are four, and the year is part of the index, so the width does not grow with the
 calendar; brands are given by the caller. A value outside the list is an error, not a loss.
+``open_matrix`` has a map of cells per row instead: type x period and state x period as they
+are shown, over a calendar of any length.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qtrlens.functions.aggs import sum_count, sum_money
-from qtrlens.functions.expr import crore, pct_growth
+from qtrlens.functions.expr import crore, pct_growth, period
 
 AGGS = {"sum": F.sum, "mean": F.avg, "first": F.first}
 
@@ -36,6 +39,55 @@ def pivot_matrix(df: DataFrame, index: Sequence[str], column: str, value: str, v
     return p.orderBy(*index)
 
 
+def open_matrix(df: DataFrame, index: Sequence[str], column: str, value: str, fill: float | None = 0.0) -> DataFrame:
+    """Rows = ``index``, and ``cells``: a map from every value of ``column`` that ``df`` has, in order, to
+    the row's ``value`` (``fill`` where it has none; None keeps NULL). ``df`` has a row per cell.
+
+    One aggregate, and a scalar subquery for the values: no list is given and none is collected to
+    the driver, so a longer calendar makes longer maps, not another plan."""
+    src = df.where(F.col(column).isNotNull())
+    values = src.agg(F.array_sort(F.collect_set(column)).alias("v")).scalar()
+    rows = src.groupBy(*index).agg(F.map_from_entries(F.collect_list(F.struct(column, value))).alias("__cells")).withColumn("__values", values)
+    cell = lambda v: F.try_element_at(F.col("__cells"), v)
+    filled = F.transform("__values", (lambda v: cell(v)) if fill is None else (lambda v: F.coalesce(cell(v), F.lit(fill))))
+    return rows.select(*index, F.map_from_arrays("__values", filled).alias("cells"))
+
+
+def cells_text(matrix: DataFrame, digits: int = 2) -> DataFrame:
+    """``matrix`` with its cells as text (``2020 Q1=1.50;...``, a NULL as ``-``) and their number."""
+    shown = F.transform(F.map_entries("cells"), lambda e: F.when(e["value"].isNull(), F.concat(e["key"], F.lit("=-"))).otherwise(
+        F.concat(e["key"], F.lit("="), F.format_string(f"%.{digits}f", F.round(e["value"], digits)))))
+    return matrix.select(*[c for c in matrix.columns if c != "cells"], F.size("cells").cast("bigint").alias("periods"),
+                         F.array_join(shown, ";").alias("cells"))
+
+
+def category_by_period(t1: DataFrame) -> DataFrame:
+    """Category x period amount (crore), 0 where there are no rows."""
+    q = t1.groupBy("transaction_type", period().alias("period")).agg(sum_money("transaction_amount", "amount"))
+    return open_matrix(q.select("transaction_type", "period", crore("amount").alias("v")), ["transaction_type"], "period", "v")
+
+
+def category_qoq_by_period(t1: DataFrame) -> DataFrame:
+    """Category x period QoQ % (1 dp); NULL in each category's first quarter and where it has none."""
+    q = t1.groupBy("year", "quarter", "transaction_type").agg(sum_money("transaction_amount", "amount"))
+    w = Window.partitionBy("transaction_type").orderBy("year", "quarter")
+    q = q.select("transaction_type", period().alias("period"), F.round(pct_growth("amount", F.lag("amount").over(w)), 1).alias("v"))
+    return open_matrix(q, ["transaction_type"], "period", "v", fill=None)
+
+
+def state_by_period(t4: DataFrame) -> DataFrame:
+    """State x period amount (crore) of the map tier, 0 fill."""
+    q = t4.groupBy("state", period().alias("period")).agg(sum_money("transaction_amount", "amount"))
+    return open_matrix(q.select("state", "period", crore("amount").alias("v")), ["state"], "period", "v")
+
+
+def reg_growth_by_period(t8: DataFrame) -> DataFrame:
+    """State x period registration growth % (mean per cell, then 0 fill)."""
+    from qtrlens.operators.users import reg_trend
+    q = reg_trend(t8).groupBy("state", period().alias("period")).agg(F.avg("growth_pct").alias("v"))
+    return open_matrix(q, ["state"], "period", "v")
+
+
 def category_period_matrix(t1: DataFrame) -> DataFrame:
     """Category and year x quarter amount (crore), 0 where there are no rows."""
     q = (t1.groupBy("year", "quarter", "transaction_type").agg(sum_money("transaction_amount", "amount"))

@@ -87,19 +87,16 @@ def flagged_states(t1: DataFrame, grain: str = "state") -> DataFrame:
 def topk_share(df: DataFrame, key: str = "state", value: str = AMT, k: int = 3) -> DataFrame:
     """The ``k`` largest ``key`` groups, their share and the cumulative share.
 
-    Windows see at most k + 1 rows: the groups found by a distributed top-k, and the total.
+    Windows see at most k rows, the groups found by a distributed top-k; the total is a scalar
+    subquery over the same aggregate, whose exchange both use.
     """
     s = df.groupBy(key).agg(sum_money(value, "amount") if "amount" in value else sum_count(value, "amount"))
-    everything = s.agg(F.sum("amount").alias("amount")).select(
-        F.lit(None).cast(s.schema[key].dataType).alias(key), "amount", F.lit(True).alias("_total"))
-    few = top_k(s, k, "amount", [key]).withColumn("_total", F.lit(False)).unionByName(everything)
-    order = Window.orderBy("_total", F.col("amount").desc_nulls_last(), F.col(key).asc_nulls_last())
-    few = few.withColumn("rank", F.row_number().over(order).cast("int"))
+    few = top_k(s, k, "amount", [key]).withColumn("_total", s.agg(F.sum("amount").alias("amount")).scalar())
+    order = Window.orderBy(F.col("amount").desc_nulls_last(), F.col(key).asc_nulls_last())
     cum = F.sum("amount").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.max(F.when(F.col("_total"), F.col("amount"))).over(whole())
-    shares = few.select(key, "rank", "amount", F.round(share_pct("amount", total), 2).alias("share_pct"),
-                        F.round(share_pct(cum, total), 2).alias("cum_share_pct"), "_total")
-    return shares.where(~F.col("_total")).drop("_total").orderBy("rank")
+    return few.select(key, F.row_number().over(order).cast("int").alias("rank"), "amount",
+                      F.round(share_pct("amount", "_total"), 2).alias("share_pct"),
+                      F.round(share_pct(cum, "_total"), 2).alias("cum_share_pct")).orderBy("rank")
 
 
 def seasonality(t1: DataFrame) -> DataFrame:

@@ -12,13 +12,12 @@ DEDUP = dedup_users(T2)
 
 
 @register("insurance_penetration_sql", f"""
-select ai.state, {sc('ai.insurance_count')} as total_policies, {sm('ai.insurance_amount')} as total_premium,
-  round({ratio('sum(ai.insurance_amount)', 'sum(ai.insurance_count)')}, 2) as avg_premium,
-  round({share('sum(ai.insurance_count)', 'au.total_users')}, 4) as penetration_rate
-from {T3} ai left join {USERS_ROWS} au on ai.state = au.state
-group by ai.state, au.total_users order by total_premium desc""")
+from (select state, {sc('insurance_count')} as total_policies, {sm('insurance_amount')} as total_premium from {T3} group by all)
+left join {USERS_ROWS} using (state)
+select state, total_policies, total_premium, round({ratio('total_premium', 'total_policies')}, 2) as avg_premium,
+  round({share('total_policies', 'total_users')}, 4) as penetration_rate""")
 def _q(t):
-    return ins.insurance_penetration_sql(t.aggregated_insurance, t.aggregated_user)
+    return ins.insurance_penetration_sql(t.once().aggregated_insurance, t.once().aggregated_user)
 
 
 @register("insurance_key_totals", f"""
@@ -43,7 +42,7 @@ left join (select state, {sc('registered_users')} as total_reg_users from {T2} g
 select state, total_policies, total_premium, round({ratio('total_premium', 'total_policies')}, 0) as avg_premium_per_policy, total_reg_users,
   round({share('total_policies', 'total_reg_users')}, 4) as penetration_pct""")
 def _q(t):
-    return ins.insurance_penetration(t.aggregated_insurance, t.aggregated_user)
+    return ins.insurance_penetration(t.once().aggregated_insurance, t.once().aggregated_user)
 
 
 @register("insurance_growth_yoy", f"""
@@ -64,7 +63,7 @@ s as (select r.*, round({ratio('total_users', '(select max(total_users) from r)'
 select s.*, ['Low', 'Medium', 'High', 'Critical'][1 + coalesce((opportunity_score >= 0)::int + (opportunity_score >= 0.1::double)::int
   + (opportunity_score >= 0.3::double)::int, 0)] || ' Priority' as campaign_priority from s""")
 def _q(t):
-    return ins.insurance_opportunity(t.aggregated_insurance, t.aggregated_user)
+    return ins.insurance_opportunity(t.once().aggregated_insurance, t.once().aggregated_user)
 
 
 @register("insurance_qoq", f"""
@@ -100,7 +99,7 @@ p as (select i.state, "count", amount, registered_users,
 select *, {ratio('sum(cast(penetration_pct as decimal(20,3))) over ()', 'count(penetration_pct) over ()')}
   as mean_penetration_pct from p""")
 def _q(t):
-    return ins.penetration_dedup(t.aggregated_insurance, t.user_totals)
+    return ins.penetration_dedup(t.once().aggregated_insurance, t.once().user_totals)
 
 
 @register("insurance_period", f"""
@@ -131,7 +130,7 @@ c as (select *, case when opportunity_score > -2.0::double and opportunity_score
 
 @register("opportunity_cut", _OPP_CUT + "\nselect * from c")
 def _q(t):
-    return ins.opportunity_cut(t.aggregated_insurance, t.user_totals)
+    return ins.opportunity_cut(t.once().aggregated_insurance, t.once().user_totals)
 
 
 @register("opportunity_rollup", _OPP_CUT + f"""
@@ -140,12 +139,12 @@ select priority, state, {sc('registered_users')} as users,
   round({ratio('sum(cast(opportunity_score as double) * cast(registered_users as double))', 'sum(registered_users)')}, 3) as score
 from c where priority is not null group by rollup (priority, state)""")
 def _q(t):
-    return ins.opportunity_rollup(t.aggregated_insurance, t.user_totals)
+    return ins.opportunity_rollup(t.once().aggregated_insurance, t.once().user_totals)
 
 
 @register("opportunity_top5", _OPP_CUT + "\nselect * from c order by opportunity_score desc nulls last, state limit 5")
 def _q(t):
-    return ins.opportunity_top(t.aggregated_insurance, t.user_totals, 5)
+    return ins.opportunity_top(t.once().aggregated_insurance, t.once().user_totals, 5)
 
 
 @register("insurance_by_state", f"""
@@ -160,7 +159,7 @@ with k as (select (select {sc('insurance_count')} from {T3}) as policies,
                   (select {sc('registered_users')} from {DEDUP} d) as registered_users)
 select *, round({share('policies', 'registered_users')}, 4) as penetration_pct from k""")
 def _q(t):
-    return ins.national_penetration(t.aggregated_insurance, t.user_totals)
+    return ins.national_penetration(t.once().aggregated_insurance, t.once().user_totals)
 
 
 @register("insurance_penetration_recent", f"""
@@ -170,5 +169,4 @@ select state, total_policies, total_premium, round({ratio('total_premium', 'tota
   round({share('total_policies', 'total_reg_users')}, 4) as penetration_pct""")
 def _q(t):
     """Page form: the year selection filters insurance only; users stay unfiltered."""
-    from qtrlens.operators.filters import select_newest_years
-    return ins.insurance_penetration(select_newest_years(t.aggregated_insurance, 2, t.insurance_years), t.aggregated_user)
+    return ins.insurance_penetration(t.newest(2, t.insurance_years).aggregated_insurance, t.aggregated_user)

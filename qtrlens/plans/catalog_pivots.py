@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from qtrlens.operators import pivots
 from qtrlens.plans.registry import register
-from qtrlens.plans.sqlx import crore, growth, growth_floor1, sc, sm
+from qtrlens.plans.sqlx import crore, growth, growth_floor1, period, sc, sm
 
 # The brands of the driver's tables (part.p_type).
 BRANDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -51,3 +51,39 @@ g as (select state, year, quarter, round({growth_floor1('n', 'lag(n) over (parti
 select state, year, {_quarters("coalesce(avg(v) filter (quarter = {}), 0)")} from g group by state, year""")
 def _q(t):
     return pivots.reg_growth_matrix(t.top_user)
+
+
+def _cells_sql(index: str, cells: str, fill: str) -> str:
+    """Text of an open matrix: every row has all periods; ``cells`` gives (index, period, v)."""
+    shown = "case when v is null then '-' else printf('%.2f', round(v, 2)) end"
+    return f"""
+with cells as ({cells}),
+grid as (select i.{index}, p.period from (select distinct {index} from cells) i, (select distinct period from cells) p)
+select {index}, count(*) as periods, string_agg(period || '=' || {shown}, ';' order by period) as cells
+from (select {index}, period, coalesce(v, {fill}) as v from grid left join cells using ({index}, period)) group by {index}"""
+
+
+@register("category_by_period", _cells_sql("transaction_type", f"""
+select transaction_type, {period()} as period, {crore(sm('transaction_amount'))} as v from aggregated_transaction group by transaction_type, year, quarter""", "0"))
+def _q(t):
+    return pivots.cells_text(pivots.category_by_period(t.aggregated_transaction))
+
+
+@register("category_qoq_by_period", _cells_sql("transaction_type", f"""
+select transaction_type, {period()} as period, round({growth('amount', 'lag(amount) over (partition by transaction_type order by year, quarter)')}, 1) as v
+from (select transaction_type, year, quarter, {sm('transaction_amount')} as amount from aggregated_transaction group by all)""", "null"))
+def _q(t):
+    return pivots.cells_text(pivots.category_qoq_by_period(t.aggregated_transaction))
+
+
+@register("state_by_period", _cells_sql("state", f"""
+select state, {period()} as period, {crore(sm('transaction_amount'))} as v from map_transaction group by state, year, quarter""", "0"))
+def _q(t):
+    return pivots.cells_text(pivots.state_by_period(t.map_transaction))
+
+
+@register("reg_growth_by_period", _cells_sql("state", f"""
+select state, {period()} as period, round({growth_floor1('n', 'lag(n) over (partition by state order by year, quarter)')}, 1) as v
+from (select state, year, quarter, {sc('registered_users')} as n from top_user group by all)""", "0"))
+def _q(t):
+    return pivots.cells_text(pivots.reg_growth_by_period(t.top_user))

@@ -8,7 +8,12 @@ from qtrlens.plans.sqlx import crore, dedup_users, growth, lakh, ratio, sc, shar
 
 T1, T2, T3 = "aggregated_transaction", "aggregated_user", "aggregated_insurance"
 
-_L = signals.SEGMENT_LABELS
+# The page's segments and what it recommends for each.
+_L = ["🥇 High Value & High Volume", "💎 High Value", "📦 High Volume", "🌱 Growth Potential"]
+_ADVICE = ["Retain with loyalty programs, premium features & exclusive offers.",
+           "Increase frequency with cashback incentives & payment reminders.",
+           "Upsell financial services; promote high-value transaction categories.",
+           "Drive awareness campaigns; offer referral bonuses to grow base."]
 _SEG_SQL = f"""
 with s as (select state, {sm('transaction_amount')} as total_amount, {sc('transaction_count')} as total_count,
              {ratio('sum(transaction_amount)', 'count(transaction_amount)')} as mean_row_amount from {T1} group by state),
@@ -27,7 +32,7 @@ def _q(t):
 
 
 _RECS = " union all ".join(f"select '{k}' as segment, '{v}' as recommendation"
-                           for k, v in signals.SEGMENT_RECOMMENDATIONS.items())
+                           for k, v in zip(_L, _ADVICE))
 
 
 @register("segment_counts", _SEG_SQL + f""",
@@ -145,4 +150,4 @@ select year, amount, "count", registered_users, policies,
   {", ".join(f"round({growth(c, f'lag({c}) over (order by year)')}, 1) as {c.strip(chr(34))}_yoy_pct" for c in _COLS)}
 from j""")
 def _q(t):
-    return signals.kpi_delta(t.aggregated_transaction, t.user_totals, t.aggregated_insurance)
+    return signals.kpi_delta(t.aggregated_transaction, t.once().user_totals, t.once().aggregated_insurance)

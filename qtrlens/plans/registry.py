@@ -45,8 +45,8 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # importing the catalogs fills the registry
-    from qtrlens.plans import (catalog_ingest, catalog_insurance, catalog_pivots, catalog_signals,  # noqa: F401
-                               catalog_txn, catalog_users)
+    from qtrlens.plans import (catalog_ingest, catalog_insurance, catalog_pivots, catalog_places,  # noqa: F401
+                               catalog_signals, catalog_txn, catalog_users)
 
 
 def queries() -> dict[str, QueryFn]:

@@ -47,6 +47,17 @@ class DerivedTables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._first_year: F.Column | None = None
+
+    def newest(self, n: int, years: DataFrame) -> "DerivedTables":
+        """The same tables from the orders of the ``n`` newest of ``years`` on (the pages' default selection).
+
+        The first year is a scalar subquery that bounds the order date at the scan, below all joins:
+        older orders meet neither customers nor line items."""
+        from qtrlens.operators.filters import newest_years
+        other = DerivedTables(self.spark, self.sf_dir)
+        other._first_year = newest_years(years, n).agg(F.min("year").alias("year")).scalar()
+        return other
 
     def raw(self, name: str) -> DataFrame:
         """A driver table. Its Parquet schema is inferred once per path and then passed
@@ -79,7 +90,13 @@ class DerivedTables:
                    cast(year(o.o_orderdate) as smallint) as year, cast(quarter(o.o_orderdate) as int) as quarter,
                    o.o_orderpriority as transaction_type, cast(o.o_totalprice as {MONEY}) as amount, o.o_custkey
             from {{o}} o join {{c}} c on o.o_custkey = c.c_custkey join {{n}} n on c.c_nationkey = n.n_nationkey""",
-                              o=self.raw("orders"), c=self.raw("customer"), n=n)
+                              o=self._orders(), c=self.raw("customer"), n=n)
+
+    def _orders(self) -> DataFrame:
+        orders = self.raw("orders")
+        if self._first_year is None:
+            return orders
+        return orders.where(F.col("o_orderdate") >= F.make_date(self._first_year.cast("int"), F.lit(1), F.lit(1)))
 
     @cached_property
     def fx_sale(self) -> DataFrame:
@@ -97,6 +114,37 @@ class DerivedTables:
         return self.spark.sql("select s.*, p.p_type as brand from {s} s join {p} p on s.l_partkey = p.p_partkey",
                               s=self.fx_sale, p=self.raw("part"))
 
+    def once(self) -> "DerivedTables":
+        """The same tables, with those made of line items read from one aggregate of them.
+
+        Queries that join users with insurance derive both from orders and line items. Here one pass
+        counts a state-quarter's lines by customer and brand, and keeps a row per brand: states x
+        quarters x brands rows, whatever the size of the data. It is checkpointed, so each table
+        is a projection or a small aggregate of it."""
+        return self._once
+
+    @cached_property
+    def _once(self) -> "DerivedTables":
+        from qtrlens.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        sq, returned = ["state", "year", "quarter"], F.col("l_returnflag") == "R"
+        fine = self.fx_line.groupBy(*sq, "o_custkey", "brand").agg(
+            F.count(F.lit(1)).alias("lines"), F.count_if(returned).alias("policies"), F.sum(F.when(returned, F.col("ext"))).alias("premium"))
+        one = F.row_number().over(Window.partitionBy(*sq, "o_custkey").orderBy("brand")) == 1
+        facts = (fine.withColumn("customer", one.cast("bigint")).groupBy(*sq, "brand")
+                 .agg(F.count(F.lit(1)).alias("user_count"), *[F.sum(c).alias(c) for c in ("customer", "lines", "policies", "premium")]).checkpoint())
+        total = Window.partitionBy(*sq)
+        other = DerivedTables(self.spark, self.sf_dir)
+        other._first_year = self._first_year
+        by_quarter = facts.groupBy(*sq).agg(F.sum("customer").alias("registered_users"), F.sum("lines").alias("app_opens"),
+                                            F.sum("policies").alias("insurance_count"), _money_sum("premium").alias("insurance_amount"))
+        other.__dict__.update(
+            aggregated_user=facts.select(*sq, "brand", "user_count", F.sum("customer").over(total).alias("registered_users"),
+                                         F.sum("lines").over(total).alias("app_opens")),
+            user_totals=by_quarter.select(*sq, "registered_users", "app_opens"),
+            aggregated_insurance=by_quarter.where("insurance_count > 0").select(*sq, "insurance_count", "insurance_amount"))
+        return other
+
     @cached_property
     def transaction_years(self) -> DataFrame:
         """The years of the transaction tables, from the order dates alone."""
@@ -274,10 +322,22 @@ class StoredTables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._first_year: F.Column | None = None
 
     def table(self, name: str) -> DataFrame:
         from qtrlens.sinks import read_table
-        return read_table(self.spark, f"{self.root}/{name}", name)
+        rows = read_table(self.spark, f"{self.root}/{name}", name)
+        return rows if self._first_year is None else rows.where(F.col("year") >= self._first_year)
+
+    def newest(self, n: int, years: DataFrame) -> "StoredTables":
+        """The same tables from the ``n`` newest of ``years`` on; older ``year`` partitions are not read."""
+        from qtrlens.operators.filters import newest_years
+        other = StoredTables(self.spark, self.root)
+        other._first_year = newest_years(years, n).agg(F.min("year").alias("year")).scalar()
+        return other
+
+    def once(self) -> "StoredTables":
+        return self
 
     def top_level(self, table: str, level: str) -> DataFrame:
         return self.table(table).where(F.col(level).isNotNull())

@@ -34,6 +34,18 @@ CATEGORY_WEIGHT = {"Peer-to-Peer": 1.4, "Merchant Payments": 1.1, "Financial Ser
 BRAND_WEIGHT = {"Samsung": 0.28, "Xiaomi": 0.24, "Vivo": 0.14, "OPPO": 0.11, "OnePlus": 0.08, "Realme": 0.07,
                 "Apple": 0.04, "Others": 0.04}
 
+# Ranges, yearly growth and noise of the generators.
+DEMO_RANGES = {"transaction_count": (1_000, 50_000), "transaction_amount": (5_000_000, 500_000_000), "user_count": (1_000, 200_000),
+               "registered_users": (100_000, 5_000_000), "app_opens": (500_000, 20_000_000),
+               "insurance_count": (500, 20_000), "insurance_amount": (1_000_000, 100_000_000)}
+FIRST_YEAR = 2020
+TXN_BASE_MILLIONS, TXN_COUNT, TXN_GROWTH, TXN_NOISE = (8, 40), (5_000, 50_000), 0.18, (0.85, 0.30)
+USER_BASE, USER_GROWTH, USER_NOISE, OPENS_PER_USER, BRAND_NOISE = (200_000, 5_000_000), 0.20, (0.9, 0.2), (2.0, 4.0), (0.85, 0.3)
+POLICY_BASE, POLICY_GROWTH, POLICY_NOISE, PREMIUM = (2_000, 30_000), 0.25, (0.85, 0.3), (8_000, 45_000)
+MAP_BASE, MAP_NOISE = (5_000_000, 80_000_000), (0.8, 0.4)
+HOME_COUNT, AWAY_COUNT, AWAY_AMOUNT = (10_000, 300_000), (2_000, 80_000), (1_000_000, 30_000_000)
+REGISTRATIONS, PINCODE_RANGE, PINCODES = (5_000, 500_000), (100_000, 999_999), 30
+
 
 def _grid(spark: SparkSession, **dims: Sequence) -> DataFrame:
     """All combinations of the given dimension lists, by successive explodes."""
@@ -69,24 +81,24 @@ def _typed(df: DataFrame) -> DataFrame:
 def demo_transactions(spark: SparkSession, seed: int = 42) -> DataFrame:
     g = _grid(spark, state=DEMO_STATES, year=YEARS, quarter=QUARTERS, transaction_type=DEMO_CATEGORIES)
     k = ["state", "year", "quarter", "transaction_type"]
-    return _typed(g.select(*k, _int_between(1_000, 50_000, _u(seed, "c", *k)).alias("transaction_count"),
-                           _int_between(5_000_000, 500_000_000, _u(seed, "a", *k)).alias("transaction_amount")))
+    return _typed(g.select(*k, _int_between(*DEMO_RANGES["transaction_count"], _u(seed, "c", *k)).alias("transaction_count"),
+                           _int_between(*DEMO_RANGES["transaction_amount"], _u(seed, "a", *k)).alias("transaction_amount")))
 
 
 def demo_users(spark: SparkSession, seed: int = 7) -> DataFrame:
     g = _grid(spark, state=DEMO_STATES, year=YEARS, quarter=QUARTERS, brand=DEMO_BRANDS)
     sq = ["state", "year", "quarter"]
     return _typed(g.select(*sq, "brand",
-                           _int_between(1_000, 200_000, _u(seed, "u", *sq, "brand")).alias("user_count"),
-                           _int_between(100_000, 5_000_000, _u(seed, "r", *sq)).alias("registered_users"),
-                           _int_between(500_000, 20_000_000, _u(seed, "o", *sq)).alias("app_opens")))
+                           _int_between(*DEMO_RANGES["user_count"], _u(seed, "u", *sq, "brand")).alias("user_count"),
+                           _int_between(*DEMO_RANGES["registered_users"], _u(seed, "r", *sq)).alias("registered_users"),
+                           _int_between(*DEMO_RANGES["app_opens"], _u(seed, "o", *sq)).alias("app_opens")))
 
 
 def demo_insurance(spark: SparkSession, seed: int = 99) -> DataFrame:
     g = _grid(spark, state=DEMO_STATES, year=YEARS, quarter=QUARTERS)
     k = ["state", "year", "quarter"]
-    return _typed(g.select(*k, _int_between(500, 20_000, _u(seed, "c", *k)).alias("insurance_count"),
-                           _int_between(1_000_000, 100_000_000, _u(seed, "a", *k)).alias("insurance_amount")))
+    return _typed(g.select(*k, _int_between(*DEMO_RANGES["insurance_count"], _u(seed, "c", *k)).alias("insurance_count"),
+                           _int_between(*DEMO_RANGES["insurance_amount"], _u(seed, "a", *k)).alias("insurance_amount")))
 
 
 def demo_top_states(spark: SparkSession, seed: int = 42) -> DataFrame:
@@ -99,17 +111,17 @@ def demo_top_states(spark: SparkSession, seed: int = 42) -> DataFrame:
 # ---- business-case tables (S21-S25): growth trends and weights --------------------------
 
 def _year_factor(rate: float) -> Column:
-    return F.lit(1.0) + (F.col("year") - F.lit(2020)).cast("double") * F.lit(rate)
+    return F.lit(1.0) + (F.col("year") - F.lit(FIRST_YEAR)).cast("double") * F.lit(rate)
 
 
 def case_transactions(spark: SparkSession, seed: int = 42) -> DataFrame:
     g = _grid(spark, state=CASE_STATES, year=YEARS, quarter=QUARTERS, transaction_type=CASE_CATEGORIES)
     k = ["state", "year", "quarter", "transaction_type"]
-    base = (_int_between(8, 40, _u(seed, "base", "state")) * F.lit(1_000_000)).cast("double")
-    yf, cf = _year_factor(0.18), _weight("transaction_type", CATEGORY_WEIGHT)
-    noise = F.lit(0.85) + _u(seed, "n", *k) * F.lit(0.30)
+    base = (_int_between(*TXN_BASE_MILLIONS, _u(seed, "base", "state")) * F.lit(1_000_000)).cast("double")
+    yf, cf = _year_factor(TXN_GROWTH), _weight("transaction_type", CATEGORY_WEIGHT)
+    noise = F.lit(TXN_NOISE[0]) + _u(seed, "n", *k) * F.lit(TXN_NOISE[1])
     return _typed(g.select(*k,
-                           (_int_between(5_000, 50_000, _u(seed, "c", *k)).cast("double") * yf * cf)
+                           (_int_between(*TXN_COUNT, _u(seed, "c", *k)).cast("double") * yf * cf)
                            .cast("bigint").alias("transaction_count"),
                            F.floor(base * cf * yf * noise).cast("bigint").alias("transaction_amount")))
 
@@ -117,11 +129,11 @@ def case_transactions(spark: SparkSession, seed: int = 42) -> DataFrame:
 def case_users(spark: SparkSession, seed: int = 42) -> DataFrame:
     g = _grid(spark, state=CASE_STATES, year=YEARS, quarter=QUARTERS, brand=CASE_BRANDS)
     sq = ["state", "year", "quarter"]
-    base = _int_between(200_000, 5_000_000, _u(seed, "base", "state")).cast("double")
-    reg = F.floor(base * _year_factor(0.20) * (F.lit(0.9) + _u(seed, "r", *sq) * F.lit(0.2)))
+    base = _int_between(*USER_BASE, _u(seed, "base", "state")).cast("double")
+    reg = F.floor(base * _year_factor(USER_GROWTH) * (F.lit(USER_NOISE[0]) + _u(seed, "r", *sq) * F.lit(USER_NOISE[1])))
     g = g.withColumn("registered_users", reg.cast("bigint"))
-    opens = F.floor(F.col("registered_users") * (F.lit(2.0) + _u(seed, "o", *sq) * F.lit(4.0)))
-    share = F.col("registered_users") * _weight("brand", BRAND_WEIGHT) * (F.lit(0.85) + _u(seed, "u", *sq, "brand") * F.lit(0.3))
+    opens = F.floor(F.col("registered_users") * (F.lit(OPENS_PER_USER[0]) + _u(seed, "o", *sq) * F.lit(OPENS_PER_USER[1])))
+    share = F.col("registered_users") * _weight("brand", BRAND_WEIGHT) * (F.lit(BRAND_NOISE[0]) + _u(seed, "u", *sq, "brand") * F.lit(BRAND_NOISE[1]))
     return _typed(g.select(*sq, "brand", F.floor(share).cast("bigint").alias("user_count"), "registered_users",
                            opens.cast("bigint").alias("app_opens")))
 
@@ -129,11 +141,11 @@ def case_users(spark: SparkSession, seed: int = 42) -> DataFrame:
 def case_insurance(spark: SparkSession, seed: int = 42) -> DataFrame:
     g = _grid(spark, state=CASE_STATES, year=YEARS, quarter=QUARTERS)
     k = ["state", "year", "quarter"]
-    base = _int_between(2_000, 30_000, _u(seed, "base", "state")).cast("double")
-    cnt = F.floor(base * _year_factor(0.25) * (F.lit(0.85) + _u(seed, "c", *k) * F.lit(0.3))).cast("bigint")
+    base = _int_between(*POLICY_BASE, _u(seed, "base", "state")).cast("double")
+    cnt = F.floor(base * _year_factor(POLICY_GROWTH) * (F.lit(POLICY_NOISE[0]) + _u(seed, "c", *k) * F.lit(POLICY_NOISE[1]))).cast("bigint")
     g = g.withColumn("insurance_count", cnt)
     return _typed(g.select(*k, "insurance_count",
-                           (F.col("insurance_count") * _int_between(8_000, 45_000, _u(seed, "p", *k)))
+                           (F.col("insurance_count") * _int_between(*PREMIUM, _u(seed, "p", *k)))
                            .alias("insurance_amount")))
 
 
@@ -149,17 +161,17 @@ def case_map(spark: SparkSession, seed: int = 42) -> DataFrame:
     g = g.select("*", F.explode(F.array(*[F.lit(y) for y in YEARS])).alias("year"))
     g = g.select("*", F.explode(F.array(*[F.lit(q) for q in QUARTERS])).alias("quarter"))
     k = ["state", "slot", "year", "quarter"]
-    base = _int_between(5_000_000, 80_000_000, _u(seed, "base", "state")).cast("double")
+    base = _int_between(*MAP_BASE, _u(seed, "base", "state")).cast("double")
     home = F.col("slot") == 0
-    count = F.when(home, _int_between(10_000, 300_000, _u(seed, "c", *k))).otherwise(
-        _int_between(2_000, 80_000, _u(seed, "c", *k)))
-    amount = F.when(home, F.floor(base * (F.lit(0.8) + _u(seed, "a", *k) * F.lit(0.4))).cast("bigint")).otherwise(
-        _int_between(1_000_000, 30_000_000, _u(seed, "a", *k)))
+    count = F.when(home, _int_between(*HOME_COUNT, _u(seed, "c", *k))).otherwise(
+        _int_between(*AWAY_COUNT, _u(seed, "c", *k)))
+    amount = F.when(home, F.floor(base * (F.lit(MAP_NOISE[0]) + _u(seed, "a", *k) * F.lit(MAP_NOISE[1]))).cast("bigint")).otherwise(
+        _int_between(*AWAY_AMOUNT, _u(seed, "a", *k)))
     return _typed(g.select("state", "district", "year", "quarter", count.alias("transaction_count"),
                            amount.alias("transaction_amount")))
 
 
-def case_registrations(spark: SparkSession, seed: int = 42, n_pincodes: int = 30) -> DataFrame:
+def case_registrations(spark: SparkSession, seed: int = 42, n_pincodes: int = PINCODES) -> DataFrame:
     """Per state-quarter three distinct districts (drawn without replacement), each
     with a pincode from a pool of ``n_pincodes`` six-digit codes."""
     from pyspark.sql import Window
@@ -171,10 +183,10 @@ def case_registrations(spark: SparkSession, seed: int = 42, n_pincodes: int = 30
     g = g.withColumn("_r", rank).where(F.col("_r") <= 3).drop("_r")
     k = sq + ["district"]
     pin_idx = _int_between(0, n_pincodes, _u(seed, "pin", *k))
-    pincode = _int_between(100_000, 999_999, F.pmod(F.xxhash64(pin_idx, F.lit(seed)), F.lit(1_000_003))
+    pincode = _int_between(*PINCODE_RANGE, F.pmod(F.xxhash64(pin_idx, F.lit(seed)), F.lit(1_000_003))
                            .cast("double") / F.lit(1_000_003.0)).cast("string")
     return _typed(g.select("state", "district", pincode.alias("pincode"), "year", "quarter",
-                           _int_between(5_000, 500_000, _u(seed, "r", *k)).alias("registered_users")))
+                           _int_between(*REGISTRATIONS, _u(seed, "r", *k)).alias("registered_users")))
 
 
 class SyntheticTables:
