@@ -22,13 +22,14 @@ class Entry:
     name: str
     build: QueryFn
     sql: str | None
+    on: Callable  # tables -> DataFrame
 
 
 _ENTRIES: dict[str, Entry] = {}
 
 
 def register(name: str, sql: str | None = None):
-    """Decorator: ``fn(tables: DerivedTables) -> DataFrame`` becomes a query."""
+    """Decorator: ``fn(tables) -> DataFrame`` becomes a query, over derived tables."""
     def deco(fn: Callable[[DerivedTables], DataFrame]):
         if name in _ENTRIES:
             raise ValueError(f"duplicate query {name}")
@@ -38,15 +39,21 @@ def register(name: str, sql: str | None = None):
 
         build.__name__ = name
         build.__doc__ = fn.__doc__
-        _ENTRIES[name] = Entry(name, build, sql)
+        _ENTRIES[name] = Entry(name, build, sql, fn)
         return fn
     return deco
 
 
+def on_tables(name: str, tables) -> DataFrame:
+    """A registered query over any tables: derived, stored, bucketed or demo ones."""
+    _load_all()
+    return _ENTRIES[name].on(tables)
+
+
 def _load_all() -> None:
     # importing the catalogs fills the registry
     from qtrlens.plans import (catalog_ingest, catalog_insurance, catalog_pivots, catalog_places,  # noqa: F401
-                               catalog_signals, catalog_txn, catalog_users)
+                               catalog_signals, catalog_stored, catalog_txn, catalog_users)
 
 
 def queries() -> dict[str, QueryFn]:

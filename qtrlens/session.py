@@ -30,6 +30,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "qtrlens", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (never used inside the library)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app_name)
+               .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="qtrlens-warehouse-"))
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("QTRLENS_DRIVER_MEM", "8g")))
     for k, v in {**_DEFAULT_CONF, **(extra or {})}.items():

@@ -317,6 +317,25 @@ class DerivedTables:
         return StoredTables(self.spark, out)
 
 
+    def bucketed(self, names: list[str] | None = None, prefix: str | None = None, buckets: int = 8) -> "BucketedTables":
+        """Write tables (default: all nine) to the session's catalog, partitioned by year and bucketed by
+        state, under names that start with ``prefix`` (default: a fresh one).
+
+        The state tables have at most a row per state, quarter and brand or district. The top tier has a
+        row per pincode and is bucketed by state and place, so that no bucket holds a whole state."""
+        import uuid
+
+        from qtrlens.schemas import TABLES
+        prefix = prefix or f"qtrlens_{uuid.uuid4().hex}"
+        names = names or TABLES
+        staged = self.staged(names)
+        for name in names:
+            by = ["state", "pincode"] if name.startswith("top_") else ["state"]
+            (staged.table(name).write.partitionBy("year").bucketBy(buckets, *by).sortBy(*by)
+             .mode("overwrite").format("parquet").saveAsTable(f"{prefix}_{name}"))
+        return BucketedTables(self.spark, prefix)
+
+
 class StoredTables:
     """The nine tables read back from Parquet (same interface as ``DerivedTables``)."""
 
@@ -362,6 +381,26 @@ class StoredTables:
         raise AttributeError(name)
 
 
+class BucketedTables(StoredTables):
+    """Tables of the session's catalog that ``DerivedTables.bucketed`` has written."""
+
+    def table(self, name: str) -> DataFrame:
+        from qtrlens.sources.ingest import conform
+        rows = conform(self.spark.table(f"{self.root}_{name}"), name)
+        return rows if self._first_year is None else rows.where(F.col("year") >= self._first_year)
+
+    def newest(self, n: int, years: DataFrame) -> "BucketedTables":
+        other = BucketedTables(self.spark, self.root)
+        other._first_year = StoredTables.newest(self, n, years)._first_year
+        return other
+
+    def drop(self) -> None:
+        """Remove the tables."""
+        from qtrlens.schemas import TABLES
+        for name in TABLES:
+            self.spark.sql(f"drop table if exists `{self.root}_{name}`")
+
+
 # ---- the same definitions as SQL text (DuckDB oracle; FIXTURES.md §A) --------------
 # The oracle inlines these as leading CTEs, since DuckDB only knows the driver tables.
 
