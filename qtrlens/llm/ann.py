@@ -102,20 +102,24 @@ def neighbours(rows: DataFrame, is_query, k: int = 20, vec: str = "embedding", b
     """query_id, rank, vec_id and score of the k nearest rows found of every query (``is_query``,
     a condition on vec_id), by inner product in double precision; ties to the smaller vec_id.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor those
-    whose length isn't the most common one, nor rows without vec_id. Rows with the query's own
+    Vectors that are null, zero or hold null or non-finite components take no part, nor rows
+    without vec_id. Vectors of one length are searched among themselves (there is no inner
+    product of others); each length has an index of its own. Rows with the query's own
     vec_id aren't its candidates; other repeated rows each count; repeated queries are one. A
     query with fewer than k candidates in the radius gets the nearest of all rows. An empty
     table gives an empty result. Other columns are not read."""
-    spark = rows.sparkSession
     kind = f"query_id {dict(rows.dtypes)['vec_id']}, rank int, vec_id {dict(rows.dtypes)['vec_id']}, score double"
     fine = usable(rows.select("vec_id", F.col(vec).cast("array<double>").alias("v")).filter("vec_id is not null"), "v")
-    sizes = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], kind)
-    dim, n = sizes[0][0], sizes[0][1]
+    found = rows.sparkSession.createDataFrame([], kind)
+    for dim, n in fine.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():
+        found = found.unionByName(_of_length(fine.filter(F.size("v") == dim), dim, n, is_query, k, block_rows))
+    return found
+
+
+def _of_length(fine: DataFrame, dim: int, n: int, is_query, k: int, block_rows: int) -> DataFrame:
+    """The neighbours among ``n`` usable vectors of ``dim`` components."""
     blocks = max(1, -(-n // block_rows))
-    stored = written(fine.filter(F.size("v") == dim).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "vectors")
+    stored = written(fine.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "vectors")
     # written first: a collected limit would send every task's own top rows to the driver
     sample = written(stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v"), "ann-sample")
     sample = np.array([r.v for r in sample.collect()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .linear import SAMPLE_ROWS, probability, raw_scores, train
 from .store import written
-from .textscan import WHITE, SpanHash, chunks, mixed, per_text, repeated, words
+from .textscan import WHITE, SpanHash, chunks, per_text, repeated, row_codes, span_codes, words
 
 #: A text goes if its calibrated probability of good quality is below this.
 KEEP_FROM = 0.5
@@ -20,7 +20,7 @@ MAX_REPEATED_PERCENT = 50
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def statistics(data, off, hasher) -> dict[str, np.ndarray]:
+def statistics(data, off) -> dict[str, np.ndarray]:
     """Per text of a chunk: words, code points in them, symbol characters, lines with a word
     that equal an earlier line, and words in 3-word windows that occur again in the text."""
     symbol = np.zeros(256, bool)
@@ -30,7 +30,6 @@ def statistics(data, off, hasher) -> dict[str, np.ndarray]:
     out = {"n_words": n_words, "word_chars": per_text(~WHITE[data] & ((data & 0xC0) != 0x80), off),
            "n_symbols": per_text(symbol[data], off)}
     text_of = np.repeat(np.arange(n), n_words)
-    salt = mixed(np.arange(1, n + 1, dtype=np.uint64))
     # lines: from each text's start or line feed to the next
     feeds = np.flatnonzero(data == 0x0A)
     begin = np.unique(np.concatenate([off[:-1], feeds + 1]))
@@ -40,14 +39,13 @@ def statistics(data, off, hasher) -> dict[str, np.ndarray]:
     full = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end = begin[full], end[full]
     line_text = np.searchsorted(off, begin, "right") - 1
-    again, _ = repeated(hasher.of(data, begin, end) ^ salt[line_text])
+    again, _ = repeated(row_codes(line_text, span_codes(data, begin, end)))
     out["n_dup_lines"] = np.bincount(line_text, again, n).astype(np.int64)
     # windows of three words, none across texts
-    h = hasher.of(data, starts, ends)
+    h = span_codes(data, starts, ends)
     if len(h) > 2:
-        window = mixed(h[:-2]) + mixed(h[1:-1] * np.uint64(3)) * np.uint64(5) + mixed(h[2:] * np.uint64(7)) * np.uint64(11)
         inside = np.flatnonzero(text_of[:-2] == text_of[2:])
-        _, twice = repeated(window[inside] ^ salt[text_of[inside]])
+        _, twice = repeated(row_codes(text_of[inside], h[inside], h[inside + 1], h[inside + 2]))
         covered = np.zeros(len(h), bool)
         for k in range(3):
             covered[inside[twice] + k] = True
@@ -65,7 +63,7 @@ def judged(column, model) -> dict[str, np.ndarray]:
     """Statistics, ``base_failed``, ``quality`` (nan without a model) and ``kept`` of a column."""
     hasher, parts = SpanHash(), []
     for _, _, data, off in chunks(column):
-        s = statistics(data, off, hasher)
+        s = statistics(data, off)
         s["base_failed"] = base_failed(s)
         s["quality"] = probability(raw_scores(data, off, hasher, model), model) if model else np.full(len(off) - 1, np.nan)
         s["kept"] = ~s["base_failed"] & ~(s["quality"] < KEEP_FROM)

@@ -86,6 +86,33 @@ class SpanHash:
         return mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal byte ranges, others for others (the bytes themselves are compared).
+    The ranges don't overlap and are in order."""
+    import pyarrow as pa
+
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    inside = np.zeros(len(data) + 1, np.int8)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    flat = np.ascontiguousarray(data[np.cumsum(inside[:-1], dtype=np.int8) > 0])
+    at = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+    return np.asarray(spans.dictionary_encode().indices, np.int64)
+
+
+def row_codes(*columns: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal rows of the columns (numbers below 2^31), others for others."""
+    import pyarrow as pa
+
+    rows = np.ascontiguousarray(np.stack(columns, 1).astype(np.int32))
+    if not len(rows):
+        return np.zeros(0, np.int64)
+    keys = pa.Array.from_buffers(pa.binary(4 * rows.shape[1]), len(rows), [None, pa.py_buffer(rows)])
+    return np.asarray(keys.dictionary_encode().indices, np.int64)
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(again, all_of_them): marks of the entries equal to an earlier one, and of every
     entry that has an equal."""
