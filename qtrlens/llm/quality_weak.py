@@ -40,9 +40,9 @@ SCALED_TO = 500.0
 ROUNDS = 200
 
 
-def votes(data, off, hasher) -> np.ndarray:
+def votes(data, off) -> np.ndarray:
     """One column per labeller: 1 good, -1 bad, 0 no vote (texts without words get none)."""
-    s = statistics(data, off, hasher)
+    s = statistics(data, off)
     n = np.maximum(s["n_words"], 1)
     upper = per_text((data >= 65) & (data <= 90), off)
     letters = np.maximum(upper + per_text((data >= 97) & (data <= 122), off), 1)
@@ -95,10 +95,10 @@ def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     def count(batches):
         import pyarrow as pa
 
-        hasher, found = SpanHash(), {}
+        found = {}
         for b in batches:
             for _, _, data, off in chunks(b.column(0)):
-                for c, n in zip(*np.unique(pattern(votes(data, off, hasher)), return_counts=True)):
+                for c, n in zip(*np.unique(pattern(votes(data, off)), return_counts=True)):
                     found[int(c)] = found.get(int(c), 0) + int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["code", "n"])
 
@@ -116,10 +116,9 @@ def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     def pick(batches):
         import pyarrow as pa
 
-        hasher = SpanHash()
         for b in batches:
             for lo, hi, data, off in chunks(b.column(0)):
-                p = np.array([posterior[int(c)] for c in pattern(votes(data, off, hasher))])
+                p = np.array([posterior[int(c)] for c in pattern(votes(data, off))])
                 u = b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).view(np.uint64) / 2.0**64
                 on = np.flatnonzero(u < np.where(p < 0.5, take[True], take[False]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(on)), pa.array(p[on]), pa.array(u[on])], names=["text", "p", "u"])
@@ -155,7 +154,7 @@ def judged(column, model) -> dict[str, np.ndarray]:
     hasher, parts = SpanHash(), []
     posterior, scorer = model["label"]["posterior"], model["scorer"]
     for _, _, data, off in chunks(column):
-        v = votes(data, off, hasher)
+        v = votes(data, off)
         p = np.array([posterior[int(c)] for c in pattern(v)])
         score = probability(raw_scores(data, off, hasher, scorer), scorer) if scorer else p
         parts.append({"n_good": (v > 0).sum(1), "n_bad": (v < 0).sum(1), "posterior": p, "score": score, "kept": score >= KEEP_FROM})
