@@ -151,8 +151,9 @@ def mixed(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS)
     cuts = _taken(rows, sources, quotas, seed).select(
         "row", F.explode(F.expr("filter(concat(transform(array_repeat(0, passes), x -> struct(0L as a, size as b)), "
                                 "array(struct(a1 as a, b1 as b), struct(a2 as a, b2 as b))), x -> x.b > x.a)")).alias("cut"), "size")
-    whole = cuts.select("row.*", F.col("cut.a").alias("__a"), F.col("cut.b").alias("__b"), F.col("size").alias("__size"))
     names = docs.columns
+    own = [F.col("row").getField(c).alias(f"column{i}") for i, c in enumerate(names)]  # by place: any name may be taken
+    whole = cuts.select(*own, F.col("cut.a").alias("cut_a"), F.col("cut.b").alias("cut_b"), "size")
     at, long_ = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):

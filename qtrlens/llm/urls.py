@@ -79,7 +79,8 @@ def judged(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, sam
     rows = lexical(rows.withColumn("rule", rule).withColumn("ruled", verdict))
     known = rows.withColumn("verdict", F.col("ruled"))
     if labelled is not None:
-        known = lexical(parsed(labelled.select(F.lit(None).alias("page_id"), "url", "verdict")).join(labelled.select("url", "verdict").distinct(), "url"))
+        # the verdict rides along where a page has its id: a url may have several rows and both verdicts
+        known = lexical(parsed(labelled.select(F.col("verdict").alias("page_id"), "url"))).withColumn("verdict", F.col("page_id"))
     # a suffix's share of all URLs, in whole powers of ten: a finer count would name the suffix itself
     share = F.count("*") / F.lit(float(max(rows.count(), 1)))
     per_suffix = rows.groupBy("suffix").agg(F.floor(F.log10(share)).cast("double").alias("suffix_share"))
