@@ -7,11 +7,16 @@ them goes to numbered parts (``1.json``, ``1.1.json``, ...), so no list grows wi
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qtrlens.sources.payloads import payloads, top_payload_parts
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no copy of the package
+
 PLACES_PER_FILE = 1_000
 
 
