@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .linear import SAMPLE_ROWS, fit_texts, probability, raw_scores
 from .quality_rules import statistics
+from .store import written
 from .textscan import SpanHash, chunks, per_text
 
 #: (statistic, good up to, bad from): between the two a labeller abstains; None: it has no
@@ -89,44 +90,34 @@ def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
     """Label model of all documents, and the scorer of a bounded sample (``rows`` by hash of id
     and text, so copies of a text are drawn one by one).
 
-    The sample takes half of its rows from patterns whose posterior is bad where there are so
-    many, weighted back to the true share by the calibration."""
+    One pass over the texts writes each one's votes and hash; the patterns are counted and the
+    sample is chosen from those, and only the chosen texts are read again. The sample takes half
+    of its rows from patterns whose posterior is bad where there are so many, weighted back to
+    the true share by the calibration; rows equal in id and text are drawn as one."""
 
     def count(batches):
         import pyarrow as pa
 
-        found = {}
         for b in batches:
-            for _, _, data, off in chunks(b.column(0)):
-                for c, n in zip(*np.unique(pattern(votes(data, off)), return_counts=True)):
-                    found[int(c)] = found.get(int(c), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["code", "n"])
+            for lo, hi, data, off in chunks(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(data, off))), b.column(1).slice(lo, hi - lo)], names=["code", "k"])
 
-    got = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    key = F.xxhash64(F.lit(11), "doc_id", F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.select("text", key.alias("k"))
+    marks = written(keyed.mapInArrow(count, "code long, k long"), "votes")
+    got = marks.groupBy("code").agg(F.count("*").alias("n")).orderBy("code").collect()
     if not got:
         return {"label": None, "scorer": None}
     label = estimate(np.array([r.code for r in got]), np.array([r.n for r in got]))
     sizes = {r.code: r.n for r in got}
     n_bad = sum(n for c, n in sizes.items() if label["posterior"][c] < 0.5)
     n_good = sum(sizes.values()) - n_bad
-    # share of each side to sample: twice what is wanted, then cut by hash to the bound
-    take = {True: min(1.0, rows / max(n_bad, 1)), False: min(1.0, rows / max(n_good, 1))}
-    posterior = label["posterior"]
-
-    def pick(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for lo, hi, data, off in chunks(b.column(0)):
-                p = np.array([posterior[int(c)] for c in pattern(votes(data, off))])
-                u = b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).view(np.uint64) / 2.0**64
-                on = np.flatnonzero(u < np.where(p < 0.5, take[True], take[False]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(on)), pa.array(p[on]), pa.array(u[on])], names=["text", "p", "u"])
-
-    key = F.xxhash64(F.lit(11), "doc_id", F.coalesce(F.col("text"), F.lit("")))
-    sample = docs.select("text", key.alias("k")).mapInArrow(pick, "text string, p double, u double")
+    # at most 3^8 patterns; u puts the rows in a seeded order
+    posterior = docs.sparkSession.createDataFrame(list(label["posterior"].items()), "code long, p double")
+    drawn = marks.join(F.broadcast(posterior), "code").select("k", "p", (F.pmod("k", F.lit(1 << 53)) / F.lit(2.0**53)).alias("u")).distinct()
     half = rows // 2
-    sides = [sample.filter(c).orderBy("u", "p").limit(half) for c in ("p < 0.5", "p >= 0.5")]
+    sides = [drawn.filter(c).orderBy("u", "k").limit(half) for c in ("p < 0.5", "p >= 0.5")]
+    chosen = written(sides[0].unionAll(sides[1]), "votes-sample")
 
     def fit(batches):
         import pickle
@@ -143,7 +134,8 @@ def trained(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
 
     import pickle
 
-    whole = sides[0].unionAll(sides[1]).repartition(1).sortWithinPartitions("u", "p")
+    texts = keyed.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("text", "p", "u")
+    whole = texts.repartition(1).sortWithinPartitions("u", "p", "text")
     found = whole.mapInArrow(fit, "model binary").collect()
     return {"label": label, "scorer": pickle.loads(bytes(found[0][0])) if found else None}
 
