@@ -49,7 +49,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder (with its scheme), setting a scratch one only when unset.
+    """Return the shared checkpoint folder, setting a scratch one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` must point at shared storage and is set by
     the platform; we read it and never override it (and refuse to invent one). Only a
@@ -60,14 +60,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named and not current:
         context.setCheckpointDir(named)
     if named or current:
-        return qualified(spark, named or current)
+        return named or current
     if not (context.master or "").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: point it at shared storage "
                            "(a machine-local folder does not survive executor loss)")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="qtrlens-ckpt-"))
-    return qualified(spark, context.getCheckpointDir())
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/qtrlens/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared checkpoint folder, with its scheme."""
+    return f"{qualified(spark, ensure_checkpoint_dir(spark)).rstrip('/')}/qtrlens/{name}-{uuid.uuid4().hex}"

@@ -50,3 +50,10 @@ def test_checkpoint_dir_is_read_not_overridden(spark):
     first = ensure_checkpoint_dir(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert ensure_checkpoint_dir(spark) == first and (named is None or first == named)
+
+
+def test_scratch_folders_name_their_file_system(spark):
+    from qtrlens.session import qualified, scratch_path
+    assert qualified(spark, "/some/where") == "file:/some/where" and qualified(spark, "file:/some/where") == "file:/some/where"
+    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert a != b and a.startswith("file:/")
