@@ -7,18 +7,16 @@ runs don't meet; ``purge`` removes what a session has written.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from qtrlens.session import ensure_checkpoint_dir
+from qtrlens.session import scratch_path
 
 _WRITTEN: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/qtrlens/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)  # with its scheme: tasks that open files need Spark's file system, not their own
     _WRITTEN.append(path)
     return path
 
