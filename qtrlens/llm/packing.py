@@ -1,9 +1,10 @@
 """Best-fit packing by exact-complement hashing.
 
 Only lengths matter for where pieces go, so the packing works on the counts of the at most
-1024 lengths, whatever the corpus's size: from the longest on, a length is joined with the
-single, pair or triple of lengths that fills its sequence exactly, as often as their counts
-allow; what is left is filled best-fit. Each combination is a run of sequences; pieces of a
+1024 lengths, whatever the corpus's size. Single lengths, pairs and triples are indexed by
+their sums; from the longest on, the gap beside a length is looked up there and the
+combination that fills it exactly is consumed as often as the counts allow; what has no
+exact complement is filled best-fit. Each combination is a run of sequences; pieces of a
 length take the runs' places by rank, which counts per task and a prefix sum give them.
 """
 
@@ -22,40 +23,74 @@ CAPACITY = 1024
 END_ID = 2
 
 
-def _pair(avail: np.ndarray, total: int) -> tuple[int, int] | None:
-    """Two available lengths of that sum, the longest possible first."""
-    if total < 2:
-        return None
-    high = np.arange(min(total - 1, len(avail) - 1), (total + 1) // 2 - 1, -1)
-    low = total - high
-    ok = (avail[high] > 0) & (avail[low] > 0) & ((high != low) | (avail[high] > 1))
-    k = int(np.argmax(ok)) if len(ok) else 0
-    return (int(high[k]), int(low[k])) if len(ok) and ok[k] else None
-
-
-def _fill(avail: np.ndarray, gap: int, depth: int) -> tuple[int, ...] | None:
-    """At most ``depth`` available lengths that sum to the gap exactly."""
-    if gap < len(avail) and avail[gap] > 0:
-        return (gap,)
-    if depth < 2:
-        return None
-    if two := _pair(avail, gap):
-        return two
-    for top in range(min(gap - 2, len(avail) - 1), (gap + 2) // 3 - 1, -1) if depth > 2 else ():
-        if avail[top] > 0:
-            avail[top] -= 1
-            two = _pair(avail, gap - top)
-            avail[top] += 1
+class SumIndex:
+    """Available lengths, their pairs and their triples, each under its sum.
+
+    A pair is filed under ``high + low``; a triple under ``top`` plus the sum of a pair of lengths
+    no longer than ``top``, so three lengths take one entry per sum of the two shorter ones. The
+    entries of a sum lie together, the longest first. Counts only fall: an entry at the head of
+    its sum that has run out is passed for good. Memory is some eight bytes per pair of lengths
+    that fit together (about 5 MB for 1,024 lengths), whatever the number of pieces."""
+
+    def __init__(self, avail: np.ndarray):
+        self.avail, self.capacity = avail, len(avail) - 1
+        lengths = np.flatnonzero(avail)
+        highs, lows = (lengths[x] for x in np.tril_indices(len(lengths)))
+        self.pair, (self.high, self.low) = self._filed(highs + lows, highs, lows)
+        sums = np.flatnonzero(np.diff(self.pair))
+        least = np.full(self.capacity + 1, self.capacity + 1)  # the shortest high of each pair sum
+        least[sums] = self.high[self.pair[sums + 1] - 1]
+        tops, rests = (x.ravel() for x in np.meshgrid(lengths, sums, indexing="ij"))
+        on = least[rests] <= tops
+        self.triple, (self.top, self.rest) = self._filed((tops + rests)[on], tops[on], rests[on])
+        self.pair_head, self.triple_head = self.pair[:-1].copy(), self.triple[:-1].copy()
+
+    def _filed(self, sums: np.ndarray, longest: np.ndarray, other: np.ndarray):
+        """Where each sum's entries begin, and the entries."""
+        on = sums <= self.capacity
+        sums, longest, other = sums[on], longest[on], other[on]
+        order = np.lexsort((-longest, sums))
+        begins = np.searchsorted(sums[order], np.arange(self.capacity + 2))
+        return begins, (longest[order].astype(np.int32), other[order].astype(np.int32))
+
+    def pair_of(self, total: int, spare: np.ndarray, top: int) -> tuple[int, int] | None:
+        """Two lengths of that sum that ``spare`` holds, none above ``top``."""
+        head, end = self.pair_head[total], self.pair[total + 1]
+        while head < end and not (self.avail[self.high[head]] and self.avail[self.low[head]]):
+            head += 1
+        self.pair_head[total] = head
+        high, low = self.high[head:end], self.low[head:end]
+        ok = np.flatnonzero((high <= top) & (spare[high] > 0) & (spare[low] > (high == low)))
+        return (int(high[ok[0]]), int(low[ok[0]])) if len(ok) else None
+
+    def triple_of(self, total: int, spare: np.ndarray) -> tuple[int, int, int] | None:
+        """Three lengths of that sum that ``spare`` holds."""
+        head, end = self.triple_head[total], self.triple[total + 1]
+        while head < end and not (self.avail[self.top[head]] and self.pair_head[self.rest[head]] < self.pair[self.rest[head] + 1]):
+            head += 1
+        self.triple_head[total] = head
+        for k in head + np.flatnonzero(spare[self.top[head:end]] > 0):
+            top, rest = int(self.top[k]), int(self.rest[k])
+            spare[top] -= 1
+            two = self.pair_of(rest, spare, top)
+            spare[top] += 1
             if two:
                 return (top, *two)
-    return None
+        return None
+
+    def exact(self, gap: int, spare: np.ndarray, depth: int) -> tuple[int, ...] | None:
+        """At most ``depth`` lengths that ``spare`` holds and that fill the gap exactly, the fewest first."""
+        if spare[gap] > 0:
+            return (gap,)
+        found = self.pair_of(gap, spare, gap) if depth > 1 else None
+        return found or (self.triple_of(gap, spare) if depth > 2 else None)
 
 
 def _packed(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[dict[int, int], int]]:
     avail = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         avail[length] = n
-    out = []
+    sums, out = SumIndex(avail), []
     for length in range(capacity, 0, -1):
         while avail[length] > 0:
             combo, gap, spare = [], capacity, avail.copy()
@@ -65,7 +100,7 @@ def _packed(counts: dict[int, int], capacity: int, depth: int) -> list[tuple[dic
                     spare[x] -= 1
                 combo += take
                 gap -= sum(take)
-                take = _fill(spare, gap, depth) if gap else None
+                take = sums.exact(gap, spare, depth) if gap else None
                 if not take:  # no exact complement: the best fit, then its complement
                     fits = np.flatnonzero(spare[: gap + 1])
                     take = (int(fits[-1]),) if len(fits) else None
