@@ -1,14 +1,19 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
-Licence texts are templates: words, and the mandatory key phrases among them. In each file
-the two mandatory words of highest corpus IDF are looked up; their occurrences, less the
-place they have in the template, are postings of template starts. Starts that both words
+Licence texts are templates: words, and the mandatory key phrases among them. The index
+maps a word to postings (template, place); a template is filed under its two mandatory words
+of highest corpus IDF. A file that holds a template holds all its mandatory words, so these
+two are the file's highest-IDF words of that licence: each file looks up its own rare words,
+and an occurrence less the posting's place is a start of that template. Starts that both words
 support (intersection by relative position) are verified: every key phrase must stand there
-word by word. The score of a start is the IDF share of the template's words in place.
+word by word. The score of a start is the IDF share of the template's words in place. Index
+and templates are literals that expressions look into, so the plan is as long for a thousand
+templates as for one.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -33,9 +38,22 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "free of charge;obtaining a copy"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu affero general public license;version 3"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright;related or neighboring rights"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "accompanying materials;eclipse public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it;gnu general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included;substantial portions"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "express or implied warranty;held liable for any damages"),
 )
 #: A template names a licence if so much of its IDF weight is in place.
 LABEL_FROM = 0.6
+#: A start is one number, template * SPAN + word; no text has that many words.
+SPAN_BITS = 40
+SPAN = 1 << SPAN_BITS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,61 +86,74 @@ def idf(docs: DataFrame, text: str = "text") -> dict[str, float]:
     return {w: math.log((1 + seen.get("", 0)) / (1 + seen.get(w, 0))) + 1 for w in vocabulary}
 
 
+def _index(weights: dict[str, float]) -> list[dict[str, list[int]]]:
+    """Two rare-token indexes, for the rarest and the second rarest mandatory word of each template
+    (highest IDF first, ties to the first place): word to postings ``template * SPAN - place``,
+    templates from 1. Such a posting plus where the word stands is a start."""
+    out: list[dict[str, list[int]]] = [{}, {}]
+    for k, (_, words, must, _) in enumerate(_templates(), 1):
+        rare = sorted(must, key=lambda j: (-weights[words[j]], j))[:2]
+        for index, j in zip(out, (rare[0], rare[-1])):
+            index.setdefault(words[j], []).append(k * SPAN - j)
+    return out
+
+
+def _literal(value, kind: str) -> Column:
+    """A nested value as one foldable expression."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
 
 def scan(docs: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, n_words, n_base (places of base phrases), first_word and
     last_word (their smallest and largest start; null without any), base_labels, labels (with
     the method's own; distinct, sorted, comma-joined, empty without any) and score (0 to 1).
 
-    Null and empty texts have no words; repeated rows get equal results; an empty table gives an
-    empty result. Other columns are not read. No row moves; one pass counts the IDF."""
+    Null and empty texts have no words; very long ones are scanned whole; repeated rows get equal
+    results; an empty table gives an empty result. Other columns are not read. No row moves; one
+    pass counts the IDF."""
     weights = weights or idf(docs, text)
-    found = _templates()
-    rare = []
-    for _, words, must, _ in found:  # highest IDF first, ties to the first word
-        rare.append(sorted(must, key=lambda j: (-weights[words[j]], j))[:2])
-    anchors = sorted({words[j] for (_, words, _, _), js in zip(found, rare) for j in js})
+    found, indexes = _templates(), _index(weights)
+    place = lambda words, j: {"j": j, "w": words[j], "idf": weights[words[j]]}
+    places = "array<array<struct<j int, w string, idf double>>>"
+    all_places = _literal([[place(words, j) for j in range(len(words))] for _, words, _, _ in found], places)
+    must_places = _literal([[place(words, j) for j in must] for _, words, must, _ in found], places)
+    totals = _literal([sum((weights[w] for w in words), 0.0) for _, words, _, _ in found], "array<double>")
+    labels, bases = _literal([t[0] for t in found], "array<string>"), _literal([t[3] for t in found], "array<boolean>")
+
+    def looked_up(index):  # starts of the templates that the file's words are filed under
+        postings = _literal(index, "map<string, array<long>>")
+        mine = F.filter("rare", lambda x: x["w"].isin(list(index)))
+        return F.flatten(F.transform(mine, lambda x: F.transform(F.element_at(postings, x["w"]), lambda p: p + x["i"])))
+
+    def number(start):  # of the template
+        return F.shiftright(start, SPAN_BITS).cast("int")
+
+    def standing(p, start):
+        return F.coalesce(F.get("words", (start % SPAN).cast("int") + p["j"]) == p["w"], F.lit(False))
+
+    def verified(start):
+        return F.forall(F.element_at(must_places, number(start)), lambda p: standing(p, start))
+
+    def share(start):
+        got = F.aggregate(F.element_at(all_places, number(start)), F.lit(0.0), lambda sum_, p: sum_ + F.when(standing(p, start), p["idf"]).otherwise(F.lit(0.0)))
+        return F.round(got / F.element_at(totals, number(start)), 9)
+
+    def described(start):
+        k = number(start)
+        return F.struct((start % SPAN).alias("at"), F.element_at(labels, k).alias("label"), F.element_at(bases, k).alias("base"), share(start).alias("share"))
+
+    rare = sorted({w for index in indexes for w in index})
     rows = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("words"))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(anchors), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", "words", hits.alias("hits"))
-
-    def posting(word, j):
-        return F.transform(F.filter("hits", lambda x: x["w"] == word), lambda x: x["i"] - j)
-
-    def standing(words, j, o):
-        return F.coalesce(F.get(F.col("words"), o + j) == F.lit(words[j]), F.lit(False))
-
-    def starts(words, must, js):
-        postings = [posting(words[j], j) for j in js]
-        shared = postings[0] if len(postings) == 1 else F.array_intersect(*postings)
-        return F.filter(shared, lambda o: F.forall(F.array(*[standing(words, j, o) for j in must]), lambda ok: ok))
-
-    def share(k, words):
-        total = sum(weights[w] for w in words)
-
-        def one(o):
-            parts = [F.when(standing(words, j, o), F.lit(weights[w] / total)).otherwise(F.lit(0.0)) for j, w in enumerate(words)]
-            out = parts[0]
-            for part in parts[1:]:
-                out = out + part
-            return out
-
-        return F.coalesce(F.round(F.array_max(F.transform(f"s{k}", one)), 9), F.lit(0.0))
-
-    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), "words",
-                       *[starts(words, must, js).alias(f"s{k}") for k, ((_, words, must, _), js) in enumerate(zip(found, rare))])
-    shares = []
-    for k, (_, words, _, base) in enumerate(found):
-        if base:
-            shares.append(F.when(F.size(f"s{k}") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-            continue
-        shares.append(share(k, words))
-    base = [k for k, t in enumerate(found) if t[3]]
-    rows = rows.select("doc_id", "n_words", F.concat(*[F.col(f"s{k}") for k in base]).alias("places"), *[s.alias(f"c{k}") for k, s in enumerate(shares)])
-    named = lambda ks: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.col(f"c{k}") >= LABEL_FROM, F.lit(found[k][0])) for k in ks]), lambda x: x.isNotNull()))), ",")
-    return rows.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"),
-                       F.array_max("places").cast("long").alias("last_word"), named(base).alias("base_labels"), named(range(len(found))).alias("labels"),
-                       F.least(F.lit(1.0), F.greatest(*[F.col(f"c{k}") for k in range(len(found))])).alias("score"))
+    rows = rows.select("*", F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("i"), w.alias("w")))), lambda x: x.isNotNull()).alias("rare"))
+    # a word nearer to the text's start than its place in the template gives a number beyond the text
+    shared = F.filter(F.array_intersect(*map(looked_up, indexes)), lambda start: start % SPAN < F.size("words"))
+    rows = rows.select("doc_id", "words", F.filter(shared, verified).alias("starts"))
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.transform("starts", described).alias("found"))
+    rows = rows.select("*", F.filter("found", lambda x: x["base"]).alias("based"), F.filter("found", lambda x: x["share"] >= LABEL_FROM).alias("named"))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(c)["label"])), ",")
+    return rows.select("doc_id", "n_words", F.size("based").cast("long").alias("n_base"), F.array_min(F.col("based")["at"]).alias("first_word"),
+                       F.array_max(F.col("based")["at"]).alias("last_word"), joined("based").alias("base_labels"), joined("named").alias("labels"),
+                       F.least(F.lit(1.0), F.coalesce(F.array_max(F.col("found")["share"]), F.lit(0.0))).alias("score"))
 
 
 def duckdb_sql() -> str:
