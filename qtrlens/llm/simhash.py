@@ -6,11 +6,13 @@ non-zero vectors of F_2^(r+1), and table v keeps the bits whose vector has an od
 with v. Any r vectors leave some v orthogonal to all of them, so in table v none of the
 differing bits is kept and the pair collides (2^(r+1) - 1 tables, no misses).
 
-Buckets are never turned into pairs. Distinct fingerprints that share a bucket are tested
-exactly by their midpoints: two fingerprints differ in at most r bits exactly if some
-64-bit word lies within r/2 bits of both. Each emits the words around it, and those that
-meet at a word are linked to the smallest of them (at most 65 meet for r = 2, however
-many copies a text has). Components come from alternating star contractions.
+The distinct fingerprints of a bucket are verified inside it: each is compared with the few
+others there, and only true links leave. A bucket with more than ``MOST`` values is never
+turned into pairs: its values are tested, as exactly, by their midpoints. Two fingerprints
+differ in at most r bits exactly if some 64-bit word lies within r/2 bits of both, so each
+emits the words around it, and those that meet at a word are linked to the smallest of them
+(at most 65 meet for r = 2). Copies of a text are one value, however many they are.
+Components come from alternating star contractions.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .store import written
 from .textscan import LOWER, chunks, words
 
 BITS = 64
+#: Distinct fingerprints that are compared inside one bucket; fuller buckets are tested by midpoints.
+MOST = 32
 #: A fingerprint is hot if more than one in so many rows has it.
 HOT_SHARE = 1000
 
@@ -103,22 +107,27 @@ def covering_masks(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
+def links(prints: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
     """(u, v): links that connect exactly the distinct fingerprints ``fp`` within ``radius``
-    bits of each other (as chains of true links; not every pair of a clique)."""
+    bits of each other: all links found in buckets of at most ``most`` values, chains of true
+    links through the values of fuller ones."""
     if radius % 2 or radius < 0:
-        raise ValueError("the radius must be even: exact verification meets at midpoints")
+        raise ValueError("the radius must be even: values of full buckets meet at midpoints")
     keyed = prints.select("fp", F.explode(F.array(*[
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(covering_masks(radius))])).alias("b"))
     keyed = keyed.select("fp", "b.t", "b.k")
-    crowded = (keyed.groupBy("t", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-               .filter("lo <> hi").select("t", "k"))
-    members = keyed.join(crowded, ["t", "k"], "left_semi").select("fp").distinct()
+    crowded = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = written(keyed.join(crowded, ["t", "k"]), "simhash-buckets")
+    few = buckets.filter(F.col("n") <= most).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
+    near = lambda a, b: (b < a) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+    true = F.flatten(F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: near(a, b)), lambda b: F.struct(a.alias("u"), b.alias("v")))))
+    verified = few.select(F.explode(true).alias("link")).select("link.u", "link.v")
+    members = buckets.filter(F.col("n") > most).select("fp").distinct()
     signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
-    near = [signed(sum(1 << i for i in c)) for k in range(radius // 2 + 1) for c in combinations(range(BITS), k)]
-    around = members.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in near])).alias("z"))
+    flips = [signed(sum(1 << i for i in c)) for k in range(radius // 2 + 1) for c in combinations(range(BITS), k)]
+    around = members.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in flips])).alias("z"))
     meet = around.withColumn("v", F.min("fp").over(Window.partitionBy("z")))
-    return meet.filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    return verified.union(meet.filter("fp <> v").select(F.col("fp").alias("u"), "v")).distinct()
 
 
 def grouped(docs: DataFrame, text: str, keep: tuple[str, ...], order: str, shingle_words: int, radius: int) -> DataFrame:
